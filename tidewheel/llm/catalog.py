@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, line_dedup, mixing, near_dedup, quality, token_counts, token_output
+from . import chat, decontaminate, language, line_dedup, lm_scoring, mixing, near_dedup, quality, token_counts, token_output
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
@@ -52,7 +56,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_line_dedup, op3_token_output, op4_language_id, op5_token_counts, op6_mixing, op7_decontamination, op8_quality_rules, op10_chat_format)
+    for f in (op1_minhash_near_dedup, op2_line_dedup, op3_token_output, op4_language_id, op5_token_counts, op6_mixing, op7_decontamination, op8_quality_rules, op9_lm_scoring, op10_chat_format)
 }
 
 _SPACE = r"[^\x20\x09-\x0D]"

@@ -134,7 +134,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     chosen = F.create_map(*[x for r in langs for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.3 * (share + 4) / r["count"])))])
     key = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     sample = rows.withColumn("key", key).where(F.col("key") < chosen[F.col("lang")] * float(1 << 30)).select("key", "lang", "text")
-    got = sorted(((r["lang"], r["key"], bytes(r["counts"])) for r in sample.mapInArrow(_sample_counts, "key long, lang string, counts binary").toLocalIterator()))
+    got = sorted(((r["lang"], r["key"], bytes(r["counts"])) for r in sample.mapInArrow(_sample_counts, "key long, lang string, counts binary").collect()))
     names = sorted({x[0] for x in got})
     taken = {x: 0 for x in names}
     labels, counts = [], []

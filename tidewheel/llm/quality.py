@@ -221,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             cut = block.line_first
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([block.features[cut[i] : cut[i + 1]].astype(np.float16).tobytes() for i in range(len(batch))], pa.binary())], names=["id", "label", "features"])
 
-    got = sorted((r["id"], r["label"], bytes(r["features"])) for r in rows.mapInArrow(run, "id long, label int, features binary").toLocalIterator())
+    got = sorted((r["id"], r["label"], bytes(r["features"])) for r in rows.mapInArrow(run, "id long, label int, features binary").collect())
     lines = [np.frombuffer(raw, np.float16).reshape(-1, N_FEATURES).astype(np.float32) for _, _, raw in got]
     marks = [label for _, label, _ in got]
     use = [i for i, x in enumerate(lines) if len(x)]
