@@ -1,28 +1,56 @@
-"""Shared-folder checkpoints and other session helpers."""
+"""Tables in the shared folder, and other session helpers."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BASES: dict[str, str] = {}
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; only where that is unset
-    (a local session, as in tests) make a temporary one."""
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which all machines share; only
+    where that is unset (a local session, as in tests) under a temporary one.
+    What the application wrote there goes when it ends."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    if sc.applicationId not in _BASES:
+        base = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="scratch-")
+        _BASES[sc.applicationId] = f"{base}/tables-{uuid.uuid4().hex}"
+        atexit.register(_delete, spark, _BASES[sc.applicationId])
+    return f"{_BASES[sc.applicationId]}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder; one that cannot be reached any more stays."""
+    try:
+        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    except Exception:  # noqa: BLE001  the session may be gone
+        pass
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared checkpoint folder, so that later
-    stages, retries and iterations do not recompute what stands before."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """Write a frame as a table in the shared folder and read it back, so that
+    later stages, retries and iterations do not compute what stands before. (A
+    checkpoint would compute the frame twice and keep all columns together.)"""
+    spark, path = frame.sparkSession, scratch_path(frame.sparkSession, "cut")
+    frame.write.parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*frames: DataFrame | None) -> None:
+    """Delete tables that `cut` wrote and no later plan reads."""
+    for frame in frames:
+        if frame is not None and getattr(frame, "_scratch", None):
+            _delete(frame.sparkSession, frame._scratch)
 
 
-def document_id_crc(doc_id) -> "F.Column":
+def document_id_crc(doc_id: str) -> Column:
     """crc32 of the id's decimal text; 0 for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0))

@@ -15,7 +15,6 @@ any file system, survive lost executors, and are read back by any reader:
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._io import ensure_checkpoint_dir
+from ._io import scratch_path
 from ._text import buffers, row_blocks
 from ._tokens import END_ID, default_path, loaded
 
@@ -191,12 +190,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return found.select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
 def token_files(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Write the documents' tokens, then describe them as read from the files."""
     spark = docs.sparkSession
