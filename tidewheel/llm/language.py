@@ -4,8 +4,8 @@ A document is a TF-IDF vector over hashed character 1- to 3-grams of its
 lower-cased letters (other characters act as one space), scaled to length one.
 Each language has several centroids (spherical k-means over its training
 vectors); the language of the centroid with the largest cosine wins. A text
-farther from its centroid than half the training texts of like length ever
-were is rejected.
+much farther from its centroid than any training text of like length (see
+REJECT) is rejected.
 """
 
 from __future__ import annotations
@@ -24,6 +24,9 @@ CENTROIDS = 4
 MAX_TRAIN = 2000
 MAX_LANGS = 500
 UNKNOWN = "und"
+#: A text is rejected below this share of the smallest cosine that training texts
+#: of its language and length class have to their centroids.
+REJECT = 0.3
 BLOCK = 1 << 20
 
 _LETTERS: list[np.ndarray] = []
@@ -106,7 +109,7 @@ def fit(langs: list[str], labels: np.ndarray, counts: np.ndarray, centroids: int
     for k in range(len(langs)):
         own = cosines[labels == k][:, owner == k].max(1) if (labels == k).any() else np.zeros(0)
         for size in np.unique(classes[labels == k]):
-            floors[k, size] = 0.5 * own[classes[labels == k] == size].min()
+            floors[k, size] = REJECT * own[classes[labels == k] == size].min()
     return Model(langs, idf, c.astype(np.float32), owner, floors)
 
 

@@ -82,7 +82,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rows; of those, each row is taken on its own."""
     taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how).where("taken > 0")
     taken = cut(taken.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken")))
-    rows, keys = docs, F.col(id_col) == F.col("__id")
+    rows, keys = docs, F.col(id_col).eqNullSafe(F.col("__id"))
     if not taken.groupBy("__id").count().where("count > 1").isEmpty():
         number = lambda frame, name, size: frame.withColumn("__n", F.row_number().over(W.partitionBy(name).orderBy(size)))
         rows = number(docs, id_col, word_count(F.col(text_col)).desc())
