@@ -33,12 +33,22 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def cut(frame: DataFrame) -> DataFrame:
+#: Narrow rows that one task of a small table takes.
+TASK_ROWS = 50_000
+
+
+def tasks_for(rows: int) -> int:
+    """Tasks for a table of about so many narrow rows."""
+    return max(8, -(-rows // TASK_ROWS))
+
+
+def cut(frame: DataFrame, tasks: int | None = None) -> DataFrame:
     """Write a frame as a table in the shared folder and read it back, so that
     later stages, retries and iterations do not compute what stands before. (A
-    checkpoint would compute the frame twice and keep all columns together.)"""
+    checkpoint would compute the frame twice and keep all columns together.)
+    tasks: at most so many tasks and files, for tables whose size is known."""
     spark, path = frame.sparkSession, scratch_path(frame.sparkSession, "cut")
-    frame.write.parquet(path)
+    (frame.coalesce(tasks) if tasks else frame).write.parquet(path)
     out = spark.read.schema(frame.schema).parquet(path)
     out._scratch = path
     return out
