@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from .sources.sinks import console_sink
 from .streaming.checkpoint import Savepoints
 from .streaming.observe import ControlServer
 from .streaming.process import COUNT_STATE, DEDUP_STATE, dedup_function, running_count_function
+from .streaming.supervisor import Supervisor
 
 
 def parser() -> argparse.ArgumentParser:
@@ -84,14 +86,15 @@ def main(argv: list[str] | None = None) -> int:
         job.run(spark)
         return 0
     spark.dataSource.register(HttpLogSource)
-    query = job.start(spark, exact=False)
+    points = Savepoints(spark, args.data_dir or None)
+    running = Supervisor(lambda first: (job if first else replace(job, _resume=None)).start(spark, exact=False), points)
     server = None
     if args.http:
-        server = ControlServer(job.name, lambda: query, Savepoints(spark, args.data_dir or None), port=int(args.http.rpartition(":")[2] or 0)).start()
+        server = ControlServer(job.name, lambda: running.query, points, port=int(args.http.rpartition(":")[2] or 0), savepoint=running.savepoint).start()
     try:
-        query.awaitTermination()
+        running.wait()
     except KeyboardInterrupt:
-        query.stop()
+        running.stop()
     finally:
         if server is not None:
             server.stop()

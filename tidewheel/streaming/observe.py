@@ -77,9 +77,11 @@ def skipped_late(frame: DataFrame) -> DataFrame:
 
 
 class ControlServer:
-    """The HTTP surface of one job."""
+    """The HTTP surface of one job. savepoint: what a POST does (default: stop the
+    query and copy its checkpoint; a Supervisor's also starts it again)."""
 
-    def __init__(self, name: str, query: Callable[[], StreamingQuery | None], savepoints: Savepoints, states: dict[str, bool] | None = None, port: int = 0):
+    def __init__(self, name: str, query: Callable[[], StreamingQuery | None], savepoints: Savepoints, states: dict[str, bool] | None = None, port: int = 0, savepoint: Callable[[str], dict] | None = None):
+        self.savepoint = savepoint or (lambda name: savepoints.trigger(query(), name))
         self.name, self.query, self.savepoints, self.states = name, query, savepoints, states or {}
         self.rates: Throughput | None = None
         server = self
@@ -137,6 +139,6 @@ class ControlServer:
         if not path.startswith("/savepoints/"):
             return 404, {"error": "not found"}
         try:
-            return 200, self.savepoints.trigger(self.query(), path.removeprefix("/savepoints/"))
+            return 200, self.savepoint(path.removeprefix("/savepoints/"))
         except SavepointError as e:
             return 409, {"error": str(e)}
