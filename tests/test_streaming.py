@@ -15,7 +15,7 @@ from tidewheel.operators import Sliding
 from tidewheel.plans import windowed
 from tidewheel.sources import HttpLogSource, ScriptedSource, idempotent, scripted, write_script
 from tidewheel.sources.scripted import ScriptedReader
-from tidewheel.streaming import SavepointError, Savepoints, batches, exact_windows, keyed_process, native_windows
+from tidewheel.streaming import SavepointError, Savepoints, Supervisor, batches, exact_windows, keyed_process, native_windows
 from tidewheel.streaming.native import configure
 from tidewheel.streaming.observe import ControlServer, Throughput, state_counts, watermarks
 from tidewheel.streaming.process import COUNT_STATE, running_count_function
@@ -331,3 +331,21 @@ def test_control_server(spark, tmp_path):
             post()
     finally:
         server.stop()
+
+
+def test_supervisor_goes_on_after_a_savepoint(spark, tmp_path):
+    events, out, data = crash(24), str(tmp_path / "out"), str(tmp_path / "data")
+    path = write_script(str(tmp_path / "s"), events)
+    job = script_job(path, out).checkpointing(data)
+    points = Savepoints(spark, data)
+    running = Supervisor(lambda first: job.start(spark, exact=True), points)
+    server = ControlServer("demo", lambda: running.query, points, savepoint=running.savepoint).start()
+    try:
+        meta = json.loads(urlopen(Request(f"http://127.0.0.1:{server.port}/savepoints/one", method="POST")).read())
+        assert meta["name"] == "one" and running.query.isActive and points.names() == ["one"]
+        running.query.processAllAvailable()
+        wait(lambda: results(spark, out) == bounded(spark, events))
+    finally:
+        server.stop()
+        running.stop()
+    running.wait()
