@@ -168,6 +168,11 @@ class Job:
         a side output is set); the source must then give us and clock_us."""
         self.validate()
         exact = bool(self._lateness or self._side) if exact is None else exact
+        if self._plan is not None:
+            raise ValueError("a set-based plan takes bounded rows; a stream takes a keyed function")
+        if self._process is not None and self._assigner is not None:
+            raise ValueError("a stream takes a keyed function or a window; run both over bounded rows, or as two jobs")
+        exact = exact and self._assigner is not None
         configure(spark)
         spark.conf.set("spark.sql.shuffle.partitions", str(self._parallelism))
         rows = self._source(spark)
@@ -178,10 +183,9 @@ class Job:
         else:
             rows = self._mapped(rows)
         for condition in self._filters:
-            rows = rows.where(_column(condition) | F.lit(False) if not exact else (_column(condition) | (F.col("seq") < 0)))
-        if self._process is not None and not exact:
-            rows = keyed_process(rows, *self._process).drop("clock")
-            rows = rows if self._assigner is None else rows.withColumn("key", F.col("route_key"))
+            rows = rows.where(_column(condition) | (F.col("seq") < 0) if exact else _column(condition))
+        if self._process is not None:
+            rows = keyed_process(rows, *self._process).select("key", "value", "ts", "seq")
         mode, sink = "append", self._sink
         if self._assigner is not None and exact:
             if "us" not in rows.columns:
