@@ -60,6 +60,25 @@ def test_window_needs_both_parts():
         Job().source(lambda s: None).map().key_by("key").sink(lambda b, i: None).window(Tumbling(1), None).validate()
 
 
+def test_streams_refuse_what_they_cannot_do(spark):
+    whole = Job().source(lambda s: None).map().key_by("key").sink(lambda b, i: None)
+    with pytest.raises(ValueError, match="bounded"):
+        whole.process_plan(lambda rows: rows).start(spark)
+    with pytest.raises(ValueError, match="two jobs"):
+        whole.process(lambda state, event: [], {}).window(Tumbling(1), count()).start(spark)
+
+
+def test_a_keyed_function_before_a_window(spark):
+    """The function renames the key; the window goes on by the key of the row."""
+
+    def rename(state, event):
+        yield event | {"key": "other"}
+
+    got, sink = collector()
+    Job().source(lambda s: scripted(s, at(1, 3))).map().key_by("key").process(rename, {}).window(Tumbling(10), count()).sink(sink).run(spark)
+    assert [(r["key"], r["value"][-1]) for r in got] == [("a", "2")]
+
+
 def test_senseless_settings_are_ignored():
     job = Job().parallelism(0).channel_capacity(-1).watermark_bound(-1).allowed_lateness(0)
     assert (job._parallelism, job._capacity, job._bound, job._lateness) == (1, 16, 5_000_000, 0)
