@@ -101,3 +101,9 @@ def test_cli(spark, capsys):
     assert "EVENT-4 count=2" in capsys.readouterr().out
     assert main(["--count", "20", "--interval", "1s", "--http", ""]) == 0
     assert "window[" in capsys.readouterr().out
+
+
+def test_cli_refuses_lateness_with_a_broker(spark):
+    with pytest.raises(ValueError, match="--broker"):
+        build(parser().parse_args(["--broker", "http://localhost:1", "--lateness", "1s"]))
+    assert build(parser().parse_args(["--broker", "http://localhost:1"]))._lateness == 0

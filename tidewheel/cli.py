@@ -35,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--window", default="5s", help="window size")
     p.add_argument("--slide", default="0s", help="0: tumbling")
     p.add_argument("--session", default="0s", help="session gap; goes before window and slide")
-    p.add_argument("--lateness", default="0s", help="allowed lateness; late rows are printed")
+    p.add_argument("--lateness", default="0s", help="allowed lateness; late rows are printed (generated events only, refused with --broker)")
     p.add_argument("--http", default=":9081", help="address of the control server, empty for none")
     p.add_argument("--data-dir", default="", help="state folder (empty: no checkpoints)")
     p.add_argument("--checkpoint", default="0s", help="checkpoint interval")
@@ -50,6 +50,8 @@ def parser() -> argparse.ArgumentParser:
 
 def build(args: argparse.Namespace) -> Job:
     """The job of parsed arguments."""
+    if args.broker and micros(args.lateness) > 0:
+        raise ValueError("--lateness needs a clock for each record, which the log broker's stream does not have; it cannot go with --broker")
     value, ts = F.col("value"), F.col("ts")
     job = Job(args.job).map(ts=event_time(value, ts.cast("timestamp_ntz")), value=upper_value(payload(value))).key_by("key")
     job = job.parallelism(args.parallelism).channel_capacity(args.buffer).watermark_bound(args.watermark_bound).sink(console_sink())
