@@ -107,3 +107,11 @@ def test_cli_refuses_lateness_with_a_broker(spark):
     with pytest.raises(ValueError, match="--broker"):
         build(parser().parse_args(["--broker", "http://localhost:1", "--lateness", "1s"]))
     assert build(parser().parse_args(["--broker", "http://localhost:1"]))._lateness == 0
+
+
+@pytest.mark.parametrize("settings", [{"lateness": "5s"}, {"side": console_sink()}])
+def test_exact_stream_refuses_a_mapped_time(spark, settings):
+    job = Job().source(lambda s: late_script(s, 5, "1s")).map(ts="ts + interval 1 day").key_by("key").window(Tumbling(10), count()).sink(console_sink())
+    job = job.allowed_lateness(settings["lateness"]) if "lateness" in settings else job.side_output(settings["side"])
+    with pytest.raises(ValueError, match="cannot set ts"):
+        job.start(spark)

@@ -165,7 +165,8 @@ class Job:
 
     def start(self, spark: SparkSession, exact: bool | None = None) -> StreamingQuery:
         """Start over a stream. exact: per-record clocks (default: if lateness or
-        a side output is set); the source must then give us and clock_us."""
+        a side output is set); the source must then give us and clock_us, and map
+        must not set ts."""
         self.validate()
         exact = bool(self._lateness or self._side) if exact is None else exact
         if self._plan is not None:
@@ -173,13 +174,14 @@ class Job:
         if self._process is not None and self._assigner is not None:
             raise ValueError("a stream takes a keyed function or a window; run both over bounded rows, or as two jobs")
         exact = exact and self._assigner is not None
+        if exact and "ts" in (self._map or {}):
+            raise ValueError("an exact stream takes times and clocks from its source (us, clock_us); map cannot set ts")
         configure(spark)
         spark.conf.set("spark.sql.shuffle.partitions", str(self._parallelism))
         rows = self._source(spark)
         if exact:
             rows = rows.withColumn("ts", F.timestamp_micros("us")) if "ts" not in rows.columns else rows
-            changed = {name: _column(x) for name, x in (self._map or {}).items() if name != "ts"}
-            rows = rows.withColumns(changed).withColumn("key", _column(self._key).cast("string"))
+            rows = rows.withColumns({name: _column(x) for name, x in (self._map or {}).items()}).withColumn("key", _column(self._key).cast("string"))
         else:
             rows = self._mapped(rows)
         for condition in self._filters:
