@@ -8,7 +8,7 @@ from reference_model import run
 from tidewheel.functions.text import event_time, float_text, number, payload
 from tidewheel.model import EVENT, micros
 from tidewheel.operators import InputClocks, OutOfOrderClock, Session, Sliding, Tumbling, count, total, with_clock
-from tidewheel.operators.aggregates import parse_number
+from tidewheel.operators.aggregates import custom, parse_number
 from tidewheel.plans import dedup, key_counts, list_state, running_count, windowed
 
 BASE = datetime(2026, 9, 24, 12)
@@ -154,3 +154,9 @@ def test_durations():
     assert [micros(x) for x in ("250ms", "1h30m", "10 minutes", 2, timedelta(seconds=1), "0s")] == [250_000, 5_400_000_000, 600_000_000, 2_000_000, 1_000_000, 0]
     with pytest.raises(ValueError):
         micros("soon")
+
+
+def test_sessions_refuse_what_cannot_be_folded(spark):
+    longest = custom("longest", lambda: F.max(F.length("value")), "long")
+    with pytest.raises(ValueError, match="folded"):
+        windowed(rows(spark, [1, 12, 5]), Session(3), longest, 2)

@@ -37,7 +37,10 @@ def windowed(rows: DataFrame, assigner: Assigner, aggregate: Aggregate, bound: t
     """All that a job emits: (kind, key, window_start, window_end, result,
     firing, value, ts, seq). kind `fire` has a result; firing 0 is the window's
     on-time result, n its n-th re-fire. kind `late` is one row per row and
-    window it came too late for, with the row's value, ts and seq."""
+    window it came too late for, with the row's value, ts and seq. Sessions merge,
+    so their aggregate must be foldable."""
+    if isinstance(assigner, Session) and not aggregate.foldable:
+        raise ValueError(f"{aggregate.name} cannot be folded, as sessions need")
     if "clock" not in rows.columns:
         rows = with_clock(rows, bound, order)
     if isinstance(assigner, Session):
@@ -90,8 +93,6 @@ def _sessions(rows: DataFrame, assigner: Session, aggregate: Aggregate, lateness
     plain = at.groupBy("key", "island").agg(behind.alias("behind"), F.min("us").alias("s"), F.max("us").alias("e"), aggregate.column().alias("result"))
     fires = plain.where(~F.col("behind")).select("key", from_us(F.col("s")).alias("window_start"), from_us(F.col("e") + gap).alias("window_end"), "result", F.lit(0).alias("firing"))
     out = _fires(fires, aggregate)
-    if not aggregate.foldable:
-        return out
     odd = at.join(plain.where("behind").select("key", "island"), ["key", "island"], "left_semi")
     # An island's rows stand together and in order, and are folded as they pass.
     odd = odd.select("key", "island", "value", "ts", "seq", "us", epoch_us("clock").alias("clock_us"), *[F.col(c).alias(f"at{i}") for i, c in enumerate(order)])
