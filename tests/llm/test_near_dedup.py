@@ -73,6 +73,19 @@ def test_long_lists_lose_nothing(spark, monkeypatch, limit, posted):
     check(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), rows)
 
 
+def test_long_lists_of_any_rank_meet_leaders(spark, monkeypatch):
+    """Two near copies whose eight smallest values differ, and lists that all count as long."""
+    monkeypatch.setattr(near_dedup, "LIST_LIMIT", 1)
+    text = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(1, text), (2, text + " tail")], "id long, text string")
+    sketches = [(1, 96, [*range(0, 16, 2), *range(20, 60)]), (2, 97, [*range(1, 17, 2), *range(20, 60)])]
+    classes = spark.createDataFrame(sketches, "id long, n long, sk array<long>")
+    for lists in (range(20, 32), [20]):
+        rest = spark.createDataFrame([(v,) for v in lists], "v long")
+        links = near_dedup._rest_links(spark.createDataFrame([], "a long, b long"), classes, rest, docs, 8)
+        assert {tuple(r) for r in links.collect()} == {(1, 2)}
+
+
 def test_empty_table(empty):
     assert near_dedup.near_duplicates(empty).count() == 0
     assert near_dedup.drop_near_duplicates(empty).columns == empty.columns
