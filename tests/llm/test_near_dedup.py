@@ -107,6 +107,13 @@ def test_one_id_with_two_texts(spark):
     assert {r["component_id"] for r in near_dedup.near_duplicates(rows).collect()} == {1}
 
 
+def test_one_id_with_two_texts_of_one_length(spark):
+    """Each text has near copies of its own, and the id is the smallest of both."""
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (5, " ".join([*a, "tail"])), (9, " ".join([*b, "tail"]))]
+    assert {r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1}
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(500, i) for i in range(501, 540)] + [(7, 7)]

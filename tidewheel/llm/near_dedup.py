@@ -247,8 +247,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig = cut(docs.mapInArrow(_signatures(SKETCH), "id long, n long, f1 long, f2 long, sk array<long>"))
     named = sig.where("n > 0 and id is not null")
     alike = cut(named.groupBy("f1", "f2").agg(F.min("id").alias("rep")))
-    classes = named.join(alike.select(F.col("rep").alias("id"), "f1", "f2"), ["id", "f1", "f2"], "left_semi").select("id", "n", "sk")
-    classes = cut(classes.dropDuplicates(["id", "n"]))
+    classes = named.join(alike.select(F.col("rep").alias("id"), "f1", "f2"), ["id", "f1", "f2"], "left_semi").dropDuplicates(["id", "f1", "f2"])
+    classes = cut(classes.select("id", "n", "sk"))
     posted = classes.select("id", "n", F.col("id").alias("comp"), F.explode(F.slice("sk", 1, POSTED)).alias("v"))
 
     tasks = tasks_for(classes.count())
