@@ -47,6 +47,20 @@ def test_language_rejects_the_distant(spark, docs):
     assert got == {1: True, 2: False}
 
 
+def test_language_rejects_foreign_texts_of_all_lengths(spark, docs):
+    """Other scripts, and a made-up language in Latin letters, from 2 to 20,000 words."""
+    model = language.train(docs.where("doc_id < 1000"))
+    rng = random.Random(6)
+    alphabets = [[chr(i) for i in range(a, b)] for a, b in ((0x3B1, 0x3C9), (0x430, 0x44F), (0x627, 0x64A), (0x3041, 0x3093), (0x4E00, 0x9FA0), (0xAC00, 0xD7A3))]
+    text = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(n))
+    foreign = [text(letters, n) for letters in alphabets for n in (2, 10, 50, 800, 20_000)] + [text("kvwxyzj", n) for n in (50, 800, 20_000)]
+    own = [" ".join(docs.where(f"doc_id < 1000 and lang = '{x}' and length(text) > 400").first()["text"] for _ in range(n)) for x in ("en", "fr", "de") for n in (1, 20, 200)]
+    rows = spark.createDataFrame(list(enumerate(foreign + own)), "doc_id long, text string")
+    got = {r["doc_id"]: r["rejected"] for r in language.identify(rows, model).collect()}
+    assert [i for i in range(len(foreign)) if not got[i]] == []
+    assert not any(got[len(foreign) + i] for i in range(len(own)))
+
+
 def test_language_without_labels_or_rows(empty, docs, clashing):
     assert language.identify(empty).count() == 0 and language.keep_identified(empty).count() == 0
     none = language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()

@@ -4,8 +4,8 @@ A document is a TF-IDF vector over hashed character 1- to 3-grams of its
 lower-cased letters (other characters act as one space), scaled to length one.
 Each language has several centroids (spherical k-means over its training
 vectors); the language of the centroid with the largest cosine wins. A text
-much farther from its centroid than any training text of like length (see
-REJECT) is rejected.
+much farther from its centroid than training texts of like length (see REJECT),
+or mostly of letters of scripts that its language does not use, is rejected.
 """
 
 from __future__ import annotations
@@ -24,9 +24,15 @@ CENTROIDS = 4
 MAX_TRAIN = 2000
 MAX_LANGS = 500
 UNKNOWN = "und"
-#: A text is rejected below this share of the smallest cosine that training texts
-#: of its language and length class have to their centroids.
-REJECT = 0.3
+#: A text is rejected below this share of a low quantile of the cosines that
+#: training texts of its language have to their centroids: those of its length
+#: class and of the nearest ones, as far as it takes for LIKE texts. A language
+#: of fewer training texts has a floor lower in proportion.
+REJECT, LOW, LIKE = 0.6, 0.02, 20
+#: Scripts are told by blocks of 128 code points. A language uses those that a
+#: hundredth of its training texts have; a text with less than this share of its
+#: letters in them is rejected.
+SCRIPT, SCRIPTS = 0.5, 0x110000 >> 7
 BLOCK = 1 << 20
 
 _LETTERS: list[np.ndarray] = []
@@ -59,12 +65,24 @@ def gram_counts(text: str) -> np.ndarray | None:
     return out
 
 
+def scripts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks of a text's letters and how many letters are in each."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+    found = np.bincount(codes[_letters()[codes]] >> np.uint32(7))
+    blocks = np.flatnonzero(found)
+    return blocks, found[blocks]
+
+
 class Model:
-    """idf, unit centroids with their language, and the cosine each language and
-    length class must reach."""
+    """idf, unit centroids with their language, the cosine each language and
+    length class must reach, and the script blocks each language uses."""
+
+    def __init__(self, langs: list[str], idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, floors: np.ndarray, known: np.ndarray):
+        self.langs, self.idf, self.centroids, self.owner, self.floors, self.known = langs, idf, centroids, owner, floors, known
 
-    def __init__(self, langs: list[str], idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, floors: np.ndarray):
-        self.langs, self.idf, self.centroids, self.owner, self.floors = langs, idf, centroids, owner, floors
+    def foreign(self, lang: int, blocks: np.ndarray, letters: np.ndarray) -> bool:
+        """Whether too few letters are of scripts that a language uses."""
+        return bool(letters[self.known[lang, blocks]].sum() < SCRIPT * letters.sum())
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         return unit(np.log1p(counts.astype(np.float32)) * self.idf)
@@ -85,8 +103,22 @@ def length_class(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(counts.sum(1) + 1).astype(np.int64), 39)
 
 
-def fit(langs: list[str], labels: np.ndarray, counts: np.ndarray, centroids: int = CENTROIDS, rounds: int = 12) -> Model:
-    """Fit from training counts; labels index langs."""
+def _apart(own: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The cosine of each training vector to the nearest centroid of its language,
+    as if its own centroid had been fitted without it; 0 for a single vector."""
+    cosines, rows = own @ centers.T, np.arange(len(own))
+    near = cosines.argmax(1)
+    sums = np.stack([own[near == i].sum(0) for i in range(len(centers))])
+    with_sum = (own * sums[near]).sum(1)
+    rest = np.sqrt(np.maximum((sums[near] ** 2).sum(1) - 2 * with_sum + 1, 0))
+    alone = np.bincount(near, minlength=len(centers))[near] == 1
+    cosines[rows, near] = np.where(alone, 0, (with_sum - 1) / np.maximum(rest, 1e-6))
+    return np.clip(cosines.max(1), 0, 1)
+
+
+def fit(langs: list[str], labels: np.ndarray, counts: np.ndarray, blocks: list[np.ndarray], centroids: int = CENTROIDS, rounds: int = 12) -> Model:
+    """Fit from training counts and the script blocks of each training text;
+    labels index langs."""
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
     x = unit(np.log1p(counts.astype(np.float32)) * idf)
     centers, owner = [], []
@@ -105,12 +137,19 @@ def fit(langs: list[str], labels: np.ndarray, counts: np.ndarray, centroids: int
         owner += [k] * len(c)
     c, owner = np.concatenate(centers), np.array(owner)
     floors, classes = np.zeros((len(langs), 40), np.float32), length_class(counts)
-    cosines = x @ c.T
     for k in range(len(langs)):
-        own = cosines[labels == k][:, owner == k].max(1) if (labels == k).any() else np.zeros(0)
-        for size in np.unique(classes[labels == k]):
-            floors[k, size] = REJECT * own[classes[labels == k] == size].min()
-    return Model(langs, idf, c.astype(np.float32), owner, floors)
+        if not (labels == k).any():
+            continue
+        own = _apart(x[labels == k], c[owner == k])
+        for size in range(floors.shape[1]):
+            away = abs(classes[labels == k] - size)
+            like = own[away <= np.sort(away)[min(LIKE, len(own)) - 1]]
+            floors[k, size] = REJECT * np.quantile(like, LOW) * min(1, len(own) / LIKE)
+    known = np.zeros((len(langs), SCRIPTS), np.int64)
+    for k, x in zip(labels, blocks, strict=True):
+        known[k, x] += 1
+    known = known >= np.maximum(1, np.bincount(labels, minlength=len(langs)) / 100)[:, None]
+    return Model(langs, idf, c.astype(np.float32), owner, floors, known)
 
 
 def _sample_counts(batches):
@@ -119,8 +158,8 @@ def _sample_counts(batches):
         found = [gram_counts(x) for x in texts]
         rows = [i for i, x in enumerate(found) if x is not None]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(rows, pa.int64())), batch.column(1).take(pa.array(rows, pa.int64())), pa.array([np.minimum(found[i], 65535).astype(np.uint16).tobytes() for i in rows], pa.binary())],
-            names=["key", "lang", "counts"],
+            [batch.column(0).take(pa.array(rows, pa.int64())), batch.column(1).take(pa.array(rows, pa.int64())), pa.array([np.minimum(found[i], 65535).astype(np.uint16).tobytes() for i in rows], pa.binary()), pa.array([scripts(texts[i])[0].astype(np.uint16).tobytes() for i in rows], pa.binary())],
+            names=["key", "lang", "counts", "blocks"],
         )
 
 
@@ -137,16 +176,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     chosen = F.create_map(*[x for r in langs for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.3 * (share + 4) / r["count"])))])
     key = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     sample = rows.withColumn("key", key).where(F.col("key") < chosen[F.col("lang")] * float(1 << 30)).select("key", "lang", "text")
-    got = sorted(((r["lang"], r["key"], bytes(r["counts"])) for r in sample.mapInArrow(_sample_counts, "key long, lang string, counts binary").collect()))
+    got = sorted(((r["lang"], r["key"], bytes(r["counts"]), bytes(r["blocks"])) for r in sample.mapInArrow(_sample_counts, "key long, lang string, counts binary, blocks binary").collect()))
     names = sorted({x[0] for x in got})
     taken = {x: 0 for x in names}
-    labels, counts = [], []
-    for lang, _, raw in got:
+    labels, counts, blocks = [], [], []
+    for lang, _, raw, used in got:
         if taken[lang] < share:
             taken[lang] += 1
             labels.append(names.index(lang))
             counts.append(np.frombuffer(raw, np.uint16))
-    return fit(names, np.array(labels), np.stack(counts)) if labels else None
+            blocks.append(np.frombuffer(used, np.uint16))
+    return fit(names, np.array(labels), np.stack(counts), blocks) if labels else None
 
 
 def _judged(column, model: Model | None):
@@ -155,7 +195,8 @@ def _judged(column, model: Model | None):
     raw = data.tobytes()
     lang, score, rejected = [], [], []
     for lo, hi in row_blocks(offsets, BLOCK):
-        found = [gram_counts(raw[offsets[i] : offsets[i + 1]].decode()) for i in range(lo, hi)]
+        texts = [raw[offsets[i] : offsets[i + 1]].decode() for i in range(lo, hi)]
+        found = [gram_counts(x) for x in texts]
         rows = [i for i, x in enumerate(found) if x is not None]
         langs, scores, bad = [UNKNOWN] * (hi - lo), np.zeros(hi - lo), np.ones(hi - lo, bool)
         if rows and model is not None:
@@ -165,6 +206,7 @@ def _judged(column, model: Model | None):
                 scores[some], bad[some] = s, r
                 for i, x in zip(some, k.tolist(), strict=True):
                     langs[i] = model.langs[x]
+                    bad[i] = bad[i] or model.foreign(x, *scripts(texts[i]))
         lang += langs
         score.append(scores)
         rejected.append(bad)
@@ -177,7 +219,7 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     held_out: crc32(doc_id) mod 4 is 2; those rows never train. Predictions use
     the whole text and nothing else. A text that is null or has no letter is
     `und` with score 0, and so is every text if nothing could be learned.
-    rejected: `und`, or too far from every centroid; lang_pred then still names
+    rejected: `und`, too far from every centroid or of other scripts; lang_pred then still names
     the nearest. A null id counts as crc 0; repeated rows are each judged."""
     model = model or train(docs, id_col, text_col, lang_col)
 
