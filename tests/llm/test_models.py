@@ -130,6 +130,18 @@ def test_leaks_are_found(spark, limit):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 5, 6, 7, 9, 10] and kept.columns == ["doc_id", "text", "print"]
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_each_row_is_judged_by_its_own_text(spark, limit):
+    _, items = planted(spark)
+    leak = items.where("item_id = 1").first()["text"]
+    clean = " ".join(f"clean{i}" for i in range(60))
+    docs = spark.createDataFrame([(7, leak), (7, clean), (7, leak), (None, leak), (None, clean), (None, None), (8, clean)], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, items, broadcast_bytes=limit).collect()
+    assert sorted((r["doc_id"] or 0, r["kept"], r["item_id"] or 0) for r in got) == [(0, False, 1), (0, True, 0), (0, True, 0), (7, False, 1), (7, False, 1), (7, True, 0), (8, True, 0)]
+    kept = decontaminate.drop_contaminated(docs, items, broadcast_bytes=limit).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, ""), (0, clean), (7, clean), (8, clean)]
+
+
 def test_leaks_of_nothing(spark, empty, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(docs, none).where("kept").count() == docs.count()

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._text import Words, buffers, mix, row_blocks
@@ -164,10 +164,17 @@ def _windows(min_match: int, distinct: bool):
     return run
 
 
+def _row_key(id_col: str, text_col: str) -> Column:
+    """A key of rows with one id (or none) and one text; only such rows share it."""
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("binary"))
+
+
 def _joined(docs: DataFrame, items: DataFrame, min_match: int, coverage: float) -> DataFrame:
-    """Contaminated (doc_id, ...) by a join of windows, for a benchmark of any size."""
+    """Contaminated (key, ...) of rows (key, text) by a join of windows, for a
+    benchmark of any size."""
     seeds = items.select("item_id", "item_text").mapInArrow(_windows(min_match, False), "id long, size long, print long").select(F.col("id").alias("item_id"), F.col("size").alias("item_size"), "print")
-    mine = docs.mapInArrow(_windows(min_match, True), "id long, size long, print long").select("id", "print")
+    docs = docs.dropDuplicates(["id"])
+    mine = docs.mapInArrow(_windows(min_match, True), "id string, size long, print long").select("id", "print")
     pairs = mine.join(seeds, "print").groupBy("id", "item_id", "item_size").agg(F.count("*").alias("shared")).where(F.col("shared") * min_match >= F.col("item_size") * coverage)
     rows = pairs.select("id", "item_id").join(docs, "id").join(items, "item_id").select("id", "text", "item_id", "item_text")
 
@@ -178,9 +185,9 @@ def _joined(docs: DataFrame, items: DataFrame, min_match: int, coverage: float)
                 found = _judged(batch.column(1).slice(i, 1), Index(ids, batch.column(3).slice(i, 1), min_match), coverage)
                 yield _columns(batch.column(0).slice(i, 1), found, ids)
 
-    found = rows.mapInArrow(run, OUT).where("not kept")
+    found = rows.mapInArrow(run, OUT.replace("doc_id long", "doc_id string")).where("not kept")
     best = F.min(F.struct(F.negative("coverage").alias("c"), "item_id", "n_tiles")).alias("best")
-    return found.groupBy("doc_id").agg(best, F.count("*").alias("n_items")).select("doc_id", "best.item_id", F.negative("best.c").alias("coverage"), "best.n_tiles", "n_items")
+    return found.groupBy("doc_id").agg(best, F.count("*").alias("n_items")).select(F.col("doc_id").alias("key"), "best.item_id", F.negative("best.c").alias("coverage"), "best.n_tiles", "n_items")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -190,15 +197,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
     item_id is then the best covered item (ties: the smallest id) and n_items
     how many reach it, else they are null. Case of A-Z and the kind of white
     space do not matter. Items and texts under `min_match` words cannot match;
-    null texts, null items and an empty benchmark leave rows kept. Each of
-    repeated rows is judged; a null doc_id is judged too, save where the
-    benchmark is over `broadcast_bytes` and pairs are joined by id."""
+    null texts, null items and an empty benchmark leave rows kept. Each row is
+    judged by its own text, also one with a null or repeated doc_id; a benchmark
+    over `broadcast_bytes` gives the same verdicts."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     items = _items(benchmark, item_col, item_text_col)
     index = _small_index(items, min_match, broadcast_bytes)
     if index is None:
-        found = _joined(rows.dropDuplicates(), items, min_match, coverage)
-        out = rows.select(F.col("id").alias("doc_id")).join(found, "doc_id", "left")
+        keyed = rows.withColumn("key", _row_key("id", "text"))
+        found = _joined(keyed.select(F.col("key").alias("id"), "text"), items, min_match, coverage)
+        out = keyed.select("key", F.col("id").alias("doc_id")).join(found, "key", "left")
         return out.select("doc_id", F.col("item_id").isNull().alias("kept"), "item_id", "coverage", "n_tiles", "n_items")
 
     def run(batches):
@@ -213,8 +221,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MI
     items = _items(benchmark, "item_id", "text")
     index = _small_index(items, min_match, broadcast_bytes)
     if index is None:
-        found = contaminated(docs, benchmark, min_match, coverage, id_col, text_col, broadcast_bytes=broadcast_bytes).where("not kept").select(F.col("doc_id").alias("__bad_id")).distinct()
-        return docs.join(found, F.col(id_col) == F.col("__bad_id"), "left_anti")
+        key = _row_key(id_col, text_col)
+        found = _joined(docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text")), items, min_match, coverage).select(F.col("key").alias("__bad_key"))
+        return docs.join(found, key == F.col("__bad_key"), "left_anti")
     at = docs.columns.index(text_col)
 
     def run(batches):
