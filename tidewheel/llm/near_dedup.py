@@ -11,7 +11,8 @@ member (with the list's smallest member), which joins a large group of near
 copies with linear work; after components are built, see _rest_links for what
 long lists may still hide. No list is collected beyond the limit and no list is
 dropped. A pair at similarity 0.75 shares none of the POSTED smallest values of
-its union with a chance near 0.25**POSTED.
+its union with a chance near 0.25**POSTED. A pair that shares no list within the
+limit is found only by the draw of leaders, for which no bound holds.
 """
 
 from __future__ import annotations
