@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from conftest_data import LOWER
@@ -73,17 +74,74 @@ def test_long_lists_lose_nothing(spark, monkeypatch, limit, posted):
     check(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), rows)
 
 
-def test_long_lists_of_any_rank_meet_leaders(spark, monkeypatch):
-    """Two near copies whose eight smallest values differ, and lists that all count as long."""
-    monkeypatch.setattr(near_dedup, "LIST_LIMIT", 1)
-    text = " ".join(f"w{i}" for i in range(100))
-    docs = spark.createDataFrame([(1, text), (2, text + " tail")], "id long, text string")
-    sketches = [(1, 96, [*range(0, 16, 2), *range(20, 60)]), (2, 97, [*range(1, 17, 2), *range(20, 60)])]
-    classes = spark.createDataFrame(sketches, "id long, n long, sk array<long>")
-    for lists in (range(20, 32), [20]):
-        rest = spark.createDataFrame([(v,) for v in lists], "v long")
-        links = near_dedup._rest_links(spark.createDataFrame([], "a long, b long"), classes, rest, docs, 8)
-        assert {tuple(r) for r in links.collect()} == {(1, 2)}
+def links_of(rows):
+    """All linked pairs of (id, text) rows and the smallest id reachable, by a
+    matrix product of all sets with all sets."""
+    names, sets = [i for i, _ in rows], [shingles(t) for _, t in rows]
+    place = {s: k for k, s in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(rows), len(place)), np.float32)
+    for k, s in enumerate(sets):
+        has[k, [place[x] for x in s]] = 1
+    both, n = has @ has.T, has.sum(1)
+    linked = 100 * both >= 75 * (n[:, None] + n[None, :] - both)
+    low = np.array(names)
+    while True:
+        new = np.where(linked, low[None, :], 2**62).min(1)
+        if (new == low).all():
+            return int((linked.sum() - len(rows)) // 2), dict(zip(names, low.tolist(), strict=True))
+        low = new
+
+
+def recall(spark, rows):
+    """Share of documents with the right component, at the constants as they are."""
+    n, want = links_of(rows)
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    return n, sum(r["component_id"] == want[r["doc_id"]] for r in found) / len(rows)
+
+
+def test_recall_in_a_large_group_of_near_copies(spark):
+    """2,000 copies whose similarities to one another lie around 0.75, among
+    other texts: every list of the group is long."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(2000):
+        own = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            own[rng.randrange(120)] = f"c{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    rows += [(5000 + i, " ".join(f"d{rng.randrange(500)}" for _ in range(60))) for i in range(200)]
+    n, share = recall(spark, rows)
+    assert n > 100_000 and share == 1
+
+
+def test_recall_in_a_long_chain(spark):
+    """Each text is similar to its neighbours only, and most lists are long."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(900)]
+    rows = [(i, " ".join(words[2 * i : 2 * i + 100])) for i in range(300)]
+    rng.shuffle(rows)
+    n, share = recall(spark, rows)
+    assert n > 300 and share == 1
+
+
+def test_recall_of_texts_made_of_shared_passages(spark):
+    """Ten of twenty shared passages each: nearly all lists are long, and most
+    of the texts that share them are no copies."""
+    rng = random.Random(13)
+    pieces = [" ".join(f"p{k}_{rng.randrange(10**6)}" for _ in range(40)) for k in range(20)]
+    rows = [(i, " ".join(rng.sample(pieces, 10))) for i in range(700)]
+    rows += [(1000 + i, rows[i][1] + " and a tail of its own") for i in range(0, 700, 50)]
+    n, share = recall(spark, rows)
+    assert n >= 14 and share == 1
+
+
+def test_one_id_with_two_texts_near_to_others(spark):
+    """Two texts of one id with equally many shingles, each near to another row."""
+    a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*a, "x"])), (8, " ".join([*b, "x"]))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {5}
 
 
 def test_empty_table(empty):

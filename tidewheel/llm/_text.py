@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 SHINGLE_WORDS = 5
 
 _SPACE = np.zeros(256, bool)
@@ -27,12 +27,11 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE**i and its modular inverse, for i below n."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, BLOCK_BYTES + 4096)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """_BASE**i and its modular inverse, for i up to BLOCK_BYTES."""
+    if not _POWERS:
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            steps = np.full(size, base, np.uint64)
+            steps = np.full(BLOCK_BYTES + 1, base, np.uint64)
             steps[0] = 1
             _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
     return _POWERS["up"], _POWERS["down"]
@@ -97,22 +96,37 @@ class Words:
         return self._hashes
 
 
+def _long_sum(data: np.ndarray, lower: bool) -> int:
+    """The polynomial of one span longer than a block, block by block."""
+    up, total = _powers()[0], 0
+    for at in range(0, len(data), BLOCK_BYTES):
+        block = data[at : at + BLOCK_BYTES]
+        part = (_CODES[_LOWER[block] if lower else block] * up[: len(block)]).sum(dtype=np.uint64)
+        total += int(part) * pow(_BASE, at, 2**64)
+    return total
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
     """A 64-bit hash of each byte span; spans ascend and do not overlap."""
     out = np.empty(len(starts), np.uint64)
+    up, down = _powers()
     at = 0
     while at < len(starts):
         low = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(ends, low + BLOCK_BYTES, "right")))
+        to = int(np.searchsorted(ends, low + BLOCK_BYTES, "right"))
+        if to <= at:  # one span over a block
+            high = int(ends[at])
+            out[at] = (_long_sum(data[low:high], lower) + high - low) % 2**64
+            at += 1
+            continue
         high = int(ends[to - 1])
-        up, down = _powers(high - low)
         block = data[low:high]
         if lower:
             block = _LOWER[block]
         sums = np.zeros(high - low + 1, np.uint64)
         np.cumsum(_CODES[block] * up[: high - low], out=sums[1:])
         s, e = starts[at:to] - low, ends[at:to] - low
-        out[at:to] = (sums[e] - sums[s]) * down[np.minimum(s, len(down) - 1)] + (e - s).astype(np.uint64)
+        out[at:to] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
         at = to
     return mix(out)
 

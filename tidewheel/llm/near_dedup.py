@@ -1,18 +1,23 @@
 """Near-duplicate detection by bottom-k sketches.
 
-One hash function orders the shingles of all documents; a document keeps the k
-smallest (its sketch). Inverted lists of the `posted` smallest values propose
-pairs with their overlap, the k smallest of both sketches together estimate
-the Jaccard similarity, and survivors are confirmed on full shingle sets.
-
-Exact copies (equal sets) collapse to one class first. A list of at most
-LIST_LIMIT classes proposes all its pairs. A longer list proposes one pair per
-member (with the list's smallest member), which joins a large group of near
-copies with linear work; after components are built, see _rest_links for what
-long lists may still hide. No list is collected beyond the limit and no list is
-dropped. A pair at similarity 0.75 shares none of the POSTED smallest values of
-its union with a chance near 0.25**POSTED. A pair that shares no list within the
-limit is found only by the draw of leaders, for which no bound holds.
+One hash function orders the shingles of all documents; a document retains the
+SKETCH smallest. Inverted lists of the POSTED smallest retained values give the
+pairs of documents that overlap, the SKETCH smallest values of both sketches
+together estimate the Jaccard similarity, and survivors are confirmed on full
+shingle sets. Documents of equal sets are one class before anything else.
+
+A list of at most LIST_LIMIT classes proposes all its pairs. Longer lists need
+no pairs of their own unless two classes share nothing but long lists. Of the
+POSTED smallest values of their union, classes at similarity 0.75 share 24 on
+average with a deviation of 2.4, so both then have at least 12 posted values in
+long lists (five deviations below): such classes are *hot*, and hot classes are compared by an exact prefix filter over their full sets. Each posts
+its rarest n - ceil(0.75 n) + 1 shingles by the frequency among hot classes; two
+sets at 0.75 must share one of them. Lists of these that are short propose all
+pairs again. Long ones are groups of near copies: each member is held against a
+few leaders of its lists, and every member that is not in its list's largest
+component then is held, on full sets, against all hot classes. A pair of which
+neither is such a member lies in one component already, so nothing is left out.
+No list is collected beyond the limit and none is dropped.
 """
 
 from __future__ import annotations
@@ -25,26 +30,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._io import cut, drop, tasks_for
+from ._native import small_side
 from ._text import Words, buffers, mix, row_blocks, shingle_set
 from .components import connected_components
 
 SKETCH = 48
-POSTED = 20
+POSTED = 32
 LIST_LIMIT = 24
-LEVELS = (1, 3, 7, 15)
-#: A block of the query set that _doubtful_links holds against all rows.
+LEADERS = 4
+#: A block of the query set that _against holds against all hot classes.
 QUERY_BYTES = 16 << 20
-QUERY_ROWS = 10_000
+#: Ids that may be broadcast to pick texts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 PERCENT = 75
 #: A pair passes the estimate from this share of its union sketch on: five
 #: standard deviations of a 48-value sketch below 0.75.
 ESTIMATE_FLOOR = 0.44
+DEVIATIONS = 5
 
 
 def _sets(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         data, offsets = buffers(batch.column(1))
-        for lo, hi in row_blocks(offsets, 2 << 20):
+        for lo, hi in row_blocks(offsets, 1 << 20):
             words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower=True)
             found = [shingle_set(words.hashes[words.first[i] : words.first[i + 1]]) for i in range(hi - lo)]
             yield batch.column(0).slice(lo, hi - lo), found
@@ -55,14 +63,16 @@ def _list_column(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64), pa.int64()))
 
 
+def _print(sets: list[np.ndarray], salt: int) -> pa.Array:
+    """A fingerprint of each whole set."""
+    return pa.array(np.array([mix(x.view(np.uint64), salt).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64))
+
+
 def _signatures(k: int):
     def run(batches):
         for ids, found in _sets(batches):
-            prints = []
-            for salt in (201, 202):
-                prints.append(np.array([mix(x.view(np.uint64), salt).sum(dtype=np.uint64) for x in found], np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(x) for x in found], pa.int64()), pa.array(prints[0]), pa.array(prints[1]), _list_column([x[:k] for x in found])],
+                [ids, pa.array([len(x) for x in found], pa.int64()), _print(found, 201), _print(found, 202), _list_column([x[:k] for x in found])],
                 names=["id", "n", "f1", "f2", "sk"],
             )
 
@@ -71,7 +81,14 @@ def _signatures(k: int):
 
 def _full_sets(batches):
     for ids, found in _sets(batches):
-        yield pa.RecordBatch.from_arrays([ids, _list_column(found)], names=["id", "full"])
+        yield pa.RecordBatch.from_arrays([ids, _print(found, 201), pa.array([len(x) for x in found], pa.int64()), _list_column(found)], names=["id", "f1", "n", "full"])
+
+
+def _full(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The full sets of the texts of some ids (a written table of distinct ones)."""
+    few = small_side(ids, BROADCAST_IDS)
+    texts = docs.join(few if few is not ids else ids.hint("shuffle_hash"), "id", "left_semi")
+    return texts.mapInArrow(_full_sets, "id long, f1 long, n long, full array<long>")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -83,151 +100,107 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> Da
     both = both.withColumn("u", union)
     # A value of the union's k smallest lies in both sketches if in both sets.
     share = F.size(F.array_intersect(F.array_intersect("sa", "sb"), "u")) / F.size("u")
-    return both.withColumn("share", share).where(F.col("share") >= ESTIMATE_FLOOR).select("a", "b", "na", "nb", "share")
-
-
-def _best_estimates(near: DataFrame) -> DataFrame:
-    """Of pairs with an estimate, the best one of each member on either side."""
-
-    def of(x: str, y: str) -> DataFrame:
-        top = near.groupBy(x).agg(F.max(F.struct("share", F.negative(y).alias("low"), "na", "nb")).alias("t"))
-        return top.select(F.col(x), F.negative("t.low").alias(y), "t.na", "t.nb").select("a", "b", "na", "nb")
-
-    return of("a", "b").unionByName(of("b", "a")).distinct()
+    return both.where(share >= ESTIMATE_FLOOR).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the similarity: 100 * both >= percent * either."""
-    pairs = cut(pairs)
-    wanted = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
-    texts = docs.join(wanted.hint("shuffle_hash"), "id", "left_semi")
-    full = texts.mapInArrow(_full_sets, "id long, full array<long>")
+    """Pairs whose full sets reach the similarity: 100 * both >= percent * either.
+    Of an id with several texts each is tried."""
+    pairs = cut(pairs.distinct())
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    full = cut(_full(docs, cut(ends)).select("id", "full"))
     both = pairs.join(full.select(F.col("id").alias("a"), F.col("full").alias("fa")), "a")
     both = both.join(full.select(F.col("id").alias("b"), F.col("full").alias("fb")), "b")
     shared = F.size(F.array_intersect("fa", "fb"))
-    links = cut(both.withColumn("shared", shared).where(f"100L * shared >= {percent}L * (na + nb - shared)").select("a", "b"))
-    drop(pairs)
+    links = cut(both.withColumn("shared", shared).where(f"100L * shared >= {percent}L * (size(fa) + size(fb) - shared)").select("a", "b"))
+    drop(pairs, full)
     return links
 
 
-def _short_pairs(postings: DataFrame, lists: DataFrame, key: str, limit: int) -> DataFrame:
+def _short_pairs(postings: DataFrame, lists: DataFrame, limit: int) -> DataFrame:
     """All pairs of each list of 2 to `limit` members."""
-    short = postings.join(lists.where(F.col("c").between(2, limit)).select(key), key)
-    members = short.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("id", "n", "comp"))).alias("l"))
+    short = postings.join(lists.where(F.col("c") <= limit).select("v"), "v")
+    members = short.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("l"))
     pairs = F.expr(
-        "flatten(transform(l, (x, i) -> transform(filter(slice(l, i + 2, size(l)), y -> y.id > x.id and y.comp != x.comp"
+        "flatten(transform(l, (x, i) -> transform(filter(slice(l, i + 2, size(l)), y -> y.id > x.id"
         f" and 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)), y -> struct(x.id as a, y.id as b))))"
     )
     return members.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
-def _lists(postings: DataFrame, key: str, tasks: int, seed: int | None = None) -> DataFrame:
-    """Each list of two or more that holds several components: its length and a
-    leader, the smallest member or, with a seed, one drawn by hash."""
-    order = F.col("id") if seed is None else F.xxhash64("id", key, F.lit(seed))
-    lead = F.min(F.struct(order.alias("order"), "id", "comp")).alias("lead")
-    found = postings.groupBy(key).agg(F.count("*").alias("c"), lead, F.min("comp").alias("low"), F.max("comp").alias("high"))
-    return cut(found.where("c > 1 and low < high").select(key, "c", F.col("lead.id").alias("lead"), F.col("lead.comp").alias("lead_comp")), tasks)
-
-
-def _stars(postings: DataFrame, lists: DataFrame, key: str, limit: int) -> DataFrame:
-    """(a, b) of each member of a longer list and the list's leader, where they
-    lie in different components, with the number of lists that propose it."""
-    long = postings.join(lists.where(F.col("c") > limit).select(key, "lead", "lead_comp"), key).where("comp != lead_comp")
-    return long.groupBy(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).agg(F.count("*").alias("ov"))
-
-
-def _best(stars: DataFrame) -> DataFrame:
-    """One pair for each larger member: the one most lists propose."""
-    return stars.groupBy("b").agg(F.max(F.struct("ov", F.negative("a").alias("low"))).alias("top")).select(F.negative("top.low").alias("a"), "b")
-
-
-def _rest_links(links: DataFrame, classes: DataFrame, rest: DataFrame, docs: DataFrame, tasks: int) -> DataFrame:
-    """What the long lists `rest` (v) still hide, after `links`.
-
-    Members of long lists post the rest of their sketch too, and the runs of
-    values that begin at each long list's value: texts that share a common
-    passage part there, and short lists propose all their pairs. In lists that
-    stay long, every round each member meets other leaders, drawn anew, and the
-    pair that looks best is tried, until a round links nothing more. Only pairs of different components are tried, so a
-    large group of copies falls out of the work as soon as it is linked."""
-    runs = ", ".join(f"xxhash64(x, slice(sk, i + 2, {depth}))" for depth in LEVELS)
-    every = f"transform(slice(sk, 1, {POSTED}), (x, i) -> struct(x as v, array(x, {runs}) as keys))"
-    hot = classes.select("id", "n", F.explode(F.expr(every)).alias("x")).select("id", "n", "x.*").join(rest, "v")
-    more = classes.join(hot.select("id").distinct(), "id", "left_semi").select("id", "n", F.explode(F.slice("sk", POSTED + 1, SKETCH)).alias("key"))
-    keys = cut(hot.select("id", "n", F.explode("keys").alias("key")).unionByName(more))
-    round_, comps, likely = 0, None, None
-    while True:
-        drop(comps)
-        comps = cut(connected_components(links, tasks=tasks), tasks)
-        left = keys.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "n", F.coalesce("component", "id").alias("comp"), "key")
-        lists = _lists(left, "key", tasks, round_)
-        near = cut(_estimated(_stars(left, lists, "key", LIST_LIMIT).select("a", "b"), classes, SKETCH, PERCENT))
-        tried = _best_estimates(near)
-        if round_ == 0:
-            tried = tried.unionByName(_estimated(_short_pairs(left, lists, "key", LIST_LIMIT).distinct(), classes, SKETCH, PERCENT).drop("share")).distinct()
-        new = _confirmed(tried, docs, PERCENT)
-        drop(lists)
-        links = links.unionByName(new)
-        near = near.select("a", "b")
-        likely = near if likely is None else likely.unionByName(near)
-        if round_ and new.isEmpty():
-            break
-        round_ += 1
-    return links.unionByName(_doubtful_links(likely, comps, classes, docs, tasks))
-
-
-def _doubtful_links(likely: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame, tasks: int) -> DataFrame:
-    """Links of the documents that came near a component but were not linked to
-    it: of each pair that passed the estimate and still lies in two components,
-    all members of the smaller one. They are a query set against all rows: in
-    blocks of bounded bytes their full sets go to every task, which counts
-    intersections exactly through an index of the block."""
-    of = lambda x: comps.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    sizes = lambda x: comps.groupBy(F.col("component").alias(f"c{x}")).agg(F.count("*").alias(f"z{x}"))
-    open_ = likely.distinct().join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca != cb").distinct()
-    open_ = open_.join(sizes("a"), "ca", "left").join(sizes("b"), "cb", "left")
-    small = open_.select(F.when(F.expr("coalesce(za, 1) <= coalesce(zb, 1)"), F.col("ca")).otherwise(F.col("cb")).alias("comp")).distinct()
-    own = classes.select("id", "n").join(comps.select(F.col("node").alias("id"), "component"), "id", "left")
-    asked = cut(own.join(small, F.coalesce("component", "id") == F.col("comp"), "left_semi").select("id", "n"), tasks)
-    total, count = asked.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    blocks = max(-(-total * 8 // QUERY_BYTES), -(-count // QUERY_ROWS))
+def _prefixes(held: DataFrame) -> DataFrame:
+    """(id, n, v): the rarest shingles of each full set, as many as a set at the
+    similarity cannot do without."""
+    each = held.select("id", "f1", "n", F.explode("full").alias("v"))
+    ranked = each.join(each.groupBy("v").agg(F.count("*").alias("c")), "v").groupBy("id", "f1", "n").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("o"))
+    first = F.expr(f"slice(o, 1, cast(n - ({PERCENT} * n + 99) div 100 + 1 as int))")
+    return ranked.select("id", "n", F.explode(first).alias("x")).select("id", "n", "x.v")
+
+
+def _leader_pairs(members: DataFrame) -> DataFrame:
+    """(a, b) of each member of long lists and the leaders of its lists."""
+    met = members.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("leads"))).alias("leads"))
+    met = met.select("id", F.explode("leads").alias("lead")).where("id != lead")
+    return met.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+
+
+def _hot_pairs(held: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs among full sets, and the members (v, id) of long lists."""
+    prefixes = cut(_prefixes(held))
+    # Leaders are drawn by one hash of the id, so lists of one group share them.
+    draws = [F.min(F.struct(F.xxhash64("id", F.lit(seed)), "id"))["id"] for seed in range(LEADERS)]
+    lists = cut(prefixes.groupBy("v").agg(F.count("*").alias("c"), F.array_distinct(F.array(*draws)).alias("leads")).where("c > 1"), tasks)
+    members = cut(prefixes.join(lists.where(F.col("c") > LIST_LIMIT).select("v", "leads"), "v").select("v", "id", "leads"), tasks)
+    return _short_pairs(prefixes, lists, LIST_LIMIT).unionByName(_leader_pairs(members)), members.select("v", "id")
+
+
+def _rest_links(members: DataFrame, links: DataFrame, held: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """Components of `links`, and the links that members of long lists outside
+    the largest component of their list have to anything hot."""
+    comps = cut(connected_components(links, tasks=tasks), tasks)
+    of = comps.select(F.col("node").alias("id"), "component")
+    own = cut(members.join(of, "id", "left").select("v", "id", F.coalesce("component", "id").alias("comp")), tasks)
+    largest = own.groupBy("v", "comp").agg(F.count("*").alias("c")).groupBy("v").agg(F.max(F.struct("c", "comp"))["comp"].alias("top"))
+    asked = cut(own.join(largest, "v").where("comp != top").select("id").distinct(), tasks)
+    edges = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    sets = held.join(asked, "id", "left_semi").select("id", "full")
+    # One block at a time: the query set grows with what the leaders left over.
+    blocks = -(-int(sets.agg(F.coalesce(F.sum(F.size("full").cast("long") * 8 + 64), F.lit(0))).first()[0]) // QUERY_BYTES)
+    rows = held.join(of, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "full")
     found = None
     for k in range(blocks):
-        ids = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).select("id")
-        texts = docs.join(F.broadcast(ids), "id", "left_semi")  # about QUERY_ROWS ids
-        sets = {r["id"]: np.array(r["full"], np.int64) for r in texts.mapInArrow(_full_sets, "id long, full array<long>").collect()}
-        links = cut(docs.mapInArrow(_against(docs.sparkSession.sparkContext.broadcast(sets)), "a long, b long").distinct(), tasks)
-        found = links if found is None else found.unionByName(links)
-    if found is None:
-        return likely.where("false")
-    return found.join(classes.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
+        block = sets.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()
+        sent = held.sparkSession.sparkContext.broadcast(([r["id"] for r in block], [np.array(r["full"], np.int64) for r in block]))
+        new = cut(rows.mapInArrow(_against(sent), "a long, b long").distinct(), tasks)
+        sent.unpersist()
+        found = new if found is None else found.unionByName(new)
+    return edges, found
 
 
 def _against(sent):
-    """(a, b): documents b whose full set reaches the similarity with a sent set a."""
+    """(a, b): sent documents a whose full set reaches the similarity with that
+    of a row, whose component is b. An index of the sent sets counts exactly."""
 
     def run(batches):
-        names = np.array(list(sent.value), np.int64)
-        sizes = np.array([len(x) for x in sent.value.values()], np.int64)
-        values = np.concatenate(list(sent.value.values())) if len(names) else np.zeros(0, np.int64)
+        ids, sets = sent.value
+        names, sizes = np.array(ids, np.int64), np.array([len(x) for x in sets], np.int64)
+        values = np.concatenate(sets)
         order = np.argsort(values, kind="stable")
         values, owner = values[order], np.repeat(np.arange(len(names)), sizes)[order]
-        for ids, found in _sets(batches):
-            a, b = [], []
-            for doc, own in zip(ids.to_pylist(), found, strict=True):
-                if doc is None or not len(own) or not len(values):
-                    continue
+        for batch in batches:
+            links = set()
+            flat, offsets = batch.column(2).values.to_numpy(), batch.column(2).offsets.to_numpy()
+            for i, (doc, comp) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                own = flat[offsets[i] : offsets[i + 1]]
                 low = np.searchsorted(values, own, "left")
                 low = low[values[np.minimum(low, len(values) - 1)] == own]
                 n = np.searchsorted(values, values[low], "right") - low
                 if not len(n):
                     continue
                 shared = np.bincount(owner[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(names))
-                for i in np.flatnonzero((100 * shared >= PERCENT * (sizes + len(own) - shared)) & (names != doc)):
-                    a.append(int(names[i]))
-                    b.append(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                near = np.flatnonzero((100 * shared >= PERCENT * (sizes + len(own) - shared)) & (names != doc))
+                links.update((int(names[j]), comp) for j in near)
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -238,33 +211,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are lower-cased A-Z runs of bytes other than white space; a set holds
     distinct 5-word shingles, or the whole sequence of a shorter text. Documents
     are linked when 100 * intersection >= 75 * union, component_id is the
-    smallest doc_id reachable and kept marks that document.
+    smallest doc_id reachable and kept marks that document. Shingles are
+    compared by 64-bit hashes, in sketches and in full sets.
 
     Null or wordless text: an empty set, linked with nothing. Null doc_id: the
     row has component null and is kept. Repeated doc_id: one document with
     several texts, hence one component; each row is returned. Empty table: no
-    rows. Other columns are ignored."""
+    rows. Very long texts are cut into words by blocks of bounded size. Other
+    columns are ignored."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sig = cut(docs.mapInArrow(_signatures(SKETCH), "id long, n long, f1 long, f2 long, sk array<long>"))
     named = sig.where("n > 0 and id is not null")
     alike = cut(named.groupBy("f1", "f2").agg(F.min("id").alias("rep")))
     classes = named.join(alike.select(F.col("rep").alias("id"), "f1", "f2"), ["id", "f1", "f2"], "left_semi").dropDuplicates(["id", "f1", "f2"])
     classes = cut(classes.select("id", "n", "sk"))
-    posted = classes.select("id", "n", F.col("id").alias("comp"), F.explode(F.slice("sk", 1, POSTED)).alias("v"))
+    postings = classes.select("id", "n", F.explode(F.slice("sk", 1, POSTED)).alias("v"))
 
     tasks = tasks_for(classes.count())
-    lists = _lists(posted, "v", tasks)
-    pairs = _short_pairs(posted, lists, "v", LIST_LIMIT).unionByName(_best(_stars(posted, lists, "v", LIST_LIMIT))).distinct()
-    links = _confirmed(_estimated(pairs, classes, SKETCH, PERCENT), docs, PERCENT)
-    rest = lists.where(F.col("c") > LIST_LIMIT).select("v")
-    if not rest.isEmpty():
-        links = _rest_links(links, classes, rest, docs, tasks)
+    lists = cut(postings.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), tasks)
+    pairs = _short_pairs(postings, lists, LIST_LIMIT)
+    in_long = postings.join(lists.where(F.col("c") > LIST_LIMIT).select("v"), "v").groupBy("id", "n").agg(F.count("*").alias("c"))
+    m, p = F.least("n", F.lit(POSTED)), PERCENT / 100
+    hot = cut(in_long.where(F.col("c") >= m * p - DEVIATIONS * F.sqrt(m * p * (1 - p))).select("id").distinct(), tasks)
+    members = None
+    if not hot.isEmpty():
+        held = cut(_full(docs, hot).dropDuplicates(["id", "f1"]))
+        more, members = _hot_pairs(held, tasks)
+        pairs = pairs.unionByName(more)
+    links = _confirmed(_estimated(pairs.distinct(), classes, SKETCH, PERCENT), docs, PERCENT)
 
     # A document with several texts belongs to the classes of all of them.
-    same = named.join(alike, ["f1", "f2"]).select("id", "rep")
     doubled = named.groupBy("id").agg(F.min("f1").alias("x"), F.max("f1").alias("y"), F.min("f2").alias("z"), F.max("f2").alias("w")).where("x != y or z != w").select("id")
-    bridges = same.join(doubled, "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a != b")
-    comps = connected_components(links.unionByName(bridges), tasks=tasks)
+    bridges = named.join(doubled, "id", "left_semi").join(alike, ["f1", "f2"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a != b")
+    links = links.unionByName(bridges)
+    if members is not None:
+        links, rest = _rest_links(members, links, held, tasks)
+        links = links if rest is None else links.unionByName(rest)
+    comps = connected_components(links, tasks=tasks)
     final = alike.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     final = cut(final, tasks)
     out = sig.join(final, ["f1", "f2"], "left")
