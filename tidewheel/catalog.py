@@ -16,9 +16,10 @@ from .operators.aggregates import count, total
 from .operators.clock import with_clock
 from .operators.windows import Session, Sliding, Tumbling
 from .plans.bounded import late_rows, window_results, windowed
-from .plans.process import dedup, key_counts, list_state, running_count
+from .plans.process import dedup, list_state, running_count
 from .streaming.exact import exact_windows
 from .streaming.native import native_windows
+from .streaming.observe import state_counts
 from .streaming.process import COUNT_STATE, DEDUP_STATE, dedup_function, keyed_process, running_count_function
 from .streaming.state import ROCKSDB
 
@@ -145,24 +146,59 @@ def running_count_state(spark, sf_dir):
     return keyed_process(_by_user_type(spark, sf_dir), running_count_function, COUNT_STATE).select("key", "value", "seq")
 
 
+def _seen_and_bought(state, event):
+    """Drops what a key has seen, and counts its purchases."""
+    for e in dedup_function(state, event):
+        yield from running_count_function(state, e) if e["value"] == "purchase" else (e,)
+
+
 def state_key_counts(spark, sf_dir):
-    return key_counts(_by_user(spark, sf_dir), ("seen", "count"))
+    """Keys that hold each state, read from the store that a stream has left."""
+    checkpoint = _scratch(spark, "state")
+    found = keyed_process(events(_stream(spark, sf_dir), "user_id", "event_type", "ts", "event_id"), _seen_and_bought, DEDUP_STATE | COUNT_STATE)
+    _drain(spark, found, "update", checkpoint, lambda b, _: b.write.format("noop").mode("overwrite").save())
+    return spark.createDataFrame(sorted(state_counts(spark, checkpoint, {"seen": True, "count": False}).items()), "state string, n_keys long")
 
 
 def list_state_last_values(spark, sf_dir):
     return list_state(_by_user_type(spark, sf_dir), 5).select("key", F.array_join("values", ",").alias("last_values"))
 
 
+def _last_five(state, event):
+    values = [*state["last"].get(), event["value"]]
+    if len(values) > 5:
+        state["last"].clear()
+        for v in values[-5:]:
+            state["last"].add(v)
+    else:
+        state["last"].add(event["value"])
+    yield event | {"value": ",".join(values[-5:])}
+
+
+def list_state_by_key(spark, sf_dir):
+    """The same by list state: what the function gave last for each key."""
+    found = keyed_process(_by_user_type(spark, sf_dir), _last_five, {"last": ("list", "value string")})
+    return found.groupBy("key").agg(F.max_by("value", "seq").alias("last_values"))
+
+
 def process_then_window(spark, sf_dir):
     rows = with_clock(_by_user_type(spark, sf_dir), 600)
     return window_results(dedup(rows), Tumbling(24 * HOUR), count(), 600)
 
 
+def _renamed(state, event):
+    """Numbers its key's events and sends every other one on under another name."""
+    n = (state["n"].get()[0] or 0) + 1
+    state["n"].set(n)
+    if n % 2:
+        yield event | {"key": f"renamed-{event['key']}"}
+
+
 def process_rekey_then_window(spark, sf_dir):
     """The function renames keys; windows go on by the key it was routed by."""
-    rows = with_clock(_by_type(spark, sf_dir), 600)
-    renamed = rows.withColumn("route_key", F.col("key")).withColumn("key", F.concat(F.lit("renamed-"), F.col("key")))
-    return window_results(renamed.withColumn("key", F.col("route_key")).drop("route_key"), Tumbling(24 * HOUR), count(), 600)
+    found = keyed_process(with_clock(_by_type(spark, sf_dir), 600), _renamed, {"n": ("value", "n long")})
+    routed = found.where(F.col("key") == F.concat(F.lit("renamed-"), "route_key")).withColumn("key", F.col("route_key")).drop("route_key")
+    return window_results(routed, Tumbling(24 * HOUR), count(), 600)
 
 
 def window_result_text(spark, sf_dir):
@@ -182,7 +218,10 @@ def _scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the cluster's shared checkpoint folder."""
     import tempfile
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewheel-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    base = base or tempfile.mkdtemp(prefix="tidewheel-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -200,13 +239,15 @@ def _drain(spark: SparkSession, frame: DataFrame, mode: str, checkpoint: str, si
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.readStream.schema(_events(spark, sf_dir).schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/event[s].parquet")
+
+
 def stream_tumbling_native(spark, sf_dir):
     """Windows of a file stream by Spark's watermark. Complete mode gives the
     windows still open at the end as well."""
     out, state = _scratch(spark, "native"), _scratch(spark, "state")
-    schema = _events(spark, sf_dir).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/event[s].parquet")
-    found = native_windows(events(stream, "event_type", "value", "ts", "event_id"), Tumbling(HOUR), count(), 600)
+    found = native_windows(events(_stream(spark, sf_dir), "event_type", "value", "ts", "event_id"), Tumbling(HOUR), count(), 600)
     _drain(spark, found, "complete", state, lambda b, _: b.write.mode("overwrite").parquet(out))
     return spark.read.parquet(out)
 
@@ -257,7 +298,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         map_uppercase, map_event_time_prefix, filter_passthrough, key_by_partition_counts, tumbling_count, tumbling_sum, sliding_count, sliding_sum, sliding_gapped, session_count, session_sum, session_late_fold, watermark_progress,
-        late_dropped_fires, late_side_output, late_count, lateness_refires, lateness_refires_sum, sliding_partial_late, dedup_first, dedup_state, running_counts, running_count_state, state_key_counts, list_state_last_values,
+        late_dropped_fires, late_side_output, late_count, lateness_refires, lateness_refires_sum, sliding_partial_late, dedup_first, dedup_state, running_counts, running_count_state, state_key_counts, list_state_last_values, list_state_by_key,
         process_then_window, process_rekey_then_window, window_result_text, sum_result_text, stream_tumbling_native, stream_exact_lateness, stream_restart_equivalence,
     )
 }
@@ -337,10 +378,11 @@ ORACLE = {
     "dedup_first": f"SELECT CAST(user_id AS VARCHAR) AS key, event_type AS value, event_id AS seq FROM ({_DEDUP}) WHERE r = 1",
     "dedup_state": f"SELECT CAST(user_id AS VARCHAR) AS key, event_type AS value, event_id AS seq FROM ({_DEDUP}) WHERE r = 1",
     "running_counts": "SELECT CAST(user_id AS VARCHAR) AS key, event_type || ' count=' || row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS value, event_id AS seq FROM events",
-    "state_key_counts": "SELECT unnest(['seen', 'count']) AS state, n_keys FROM (SELECT count(DISTINCT user_id) AS n_keys FROM events)",
+    "state_key_counts": "SELECT 'seen' AS state, count(DISTINCT user_id) AS n_keys FROM events UNION ALL SELECT 'count', count(DISTINCT user_id) FROM events WHERE event_type = 'purchase'",
     "list_state_last_values": "SELECT CAST(user_id AS VARCHAR) AS key, string_agg(event_type, ',' ORDER BY event_id) AS last_values FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 5 GROUP BY user_id",
     "process_then_window": f"SELECT CAST(user_id AS VARCHAR) AS key, {_at(f'epoch_us(ts) // {24 * _H} * {24 * _H}')} AS window_start, {_at(f'epoch_us(ts) // {24 * _H} * {24 * _H} + {24 * _H}')} AS window_end, count(*) AS result, CAST(0 AS BIGINT) AS firing FROM ({_DEDUP}) WHERE r = 1 GROUP BY 1, 2, 3",
-    "process_rekey_then_window": _simple(24 * _H, 24 * _H, "event_type", "count(*)"),
+    "process_rekey_then_window": f"""SELECT key, {_at('s')} AS window_start, {_at('e')} AS window_end, count(*) AS result, CAST(0 AS BIGINT) AS firing FROM
+      {_panes(24 * _H, 24 * _H, 'event_type', '(SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events)')} WHERE n % 2 = 1 GROUP BY key, s, e""",
     "window_result_text": f"SELECT key, window_end AS ts, 'window[' || strftime(window_start, '%H:%M:%S') || '~' || strftime(window_end, '%H:%M:%S') || ') ' || result AS value FROM ({_simple(7 * _H, 7 * _H, 'event_type', 'count(*)')})",
     "sum_result_text": "SELECT event_id, CASE WHEN user_id * 10000000 % 4 = 0 THEN CAST(user_id * 10000000 // 4 AS VARCHAR) ELSE CAST(user_id * 10000000 / 4 AS VARCHAR) END AS value FROM events",
     "stream_tumbling_native": f"SELECT key, window_start, window_end, result FROM ({_simple(_H, _H, 'event_type', 'count(*)')})",
@@ -348,3 +390,34 @@ ORACLE = {
     "stream_restart_equivalence": _REFIRES,
 }
 ORACLE["running_count_state"] = ORACLE["running_counts"]
+ORACLE["list_state_by_key"] = ORACLE["list_state_last_values"]
+
+# Sessions folded row by row: each step holds a key's open sessions as a list,
+# fires and drops what the clock has passed, then merges the row in.
+_FOLD_GAP, _FOLD_LATE = 2 * _H, _H
+ORACLE["session_late_fold"] = f"""WITH RECURSIVE {_ARRIVED}, placed AS (
+  SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS us, seq, clock, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS r FROM arrived
+), steps AS (
+  SELECT DISTINCT key, CAST(0 AS BIGINT) AS r, CAST([] AS STRUCT(s BIGINT, e BIGINT, n BIGINT, fired BOOLEAN, k BIGINT)[]) AS cells,
+    CAST([] AS STRUCT(kind VARCHAR, s BIGINT, e BIGINT, result BIGINT, firing BIGINT, us BIGINT, seq BIGINT)[]) AS outs FROM placed
+  UNION ALL
+  SELECT key, r, CASE WHEN too_late THEN adv ELSE list_append(apart, struct_pack(s := ms, e := me, n := n0 + 1, fired := again OR (same AND fired0), k := CASE WHEN again THEN greatest(k0, 1) + 1 ELSE k0 END)) END,
+    list_concat(due, CASE WHEN too_late THEN [struct_pack(kind := 'late', s := ms, e := me, result := CAST(NULL AS BIGINT), firing := CAST(NULL AS BIGINT), us := us, seq := seq)]
+      WHEN again THEN [struct_pack(kind := 'fire', s := ms, e := me, result := n0 + 1, firing := greatest(k0, 1), us := CAST(NULL AS BIGINT), seq := CAST(NULL AS BIGINT))] ELSE [] END)
+  FROM (SELECT *, coalesce(me <= clock AND clock >= me + {_FOLD_LATE}, false) AS too_late, coalesce(me <= clock AND clock < me + {_FOLD_LATE}, false) AS again FROM (
+    SELECT *, least(us, coalesce(list_min(list_transform(touch, lambda c: c.s)), us)) AS ms, greatest(us + {_FOLD_GAP}, coalesce(list_max(list_transform(touch, lambda c: c.e)), us)) AS me,
+      CAST(coalesce(list_sum(list_transform(touch, lambda c: c.n)), 0) AS BIGINT) AS n0,
+      len(touch) = 1 AND coalesce(touch[1].s <= us AND touch[1].e >= us + {_FOLD_GAP}, false) AS same,
+      CASE WHEN len(touch) = 1 AND touch[1].s <= us AND touch[1].e >= us + {_FOLD_GAP} THEN touch[1].k ELSE 0 END AS k0, coalesce(touch[1].fired, false) AS fired0 FROM (
+      SELECT *, list_filter(adv, lambda c: c.s <= us + {_FOLD_GAP} AND us <= c.e) AS touch, list_filter(adv, lambda c: NOT (c.s <= us + {_FOLD_GAP} AND us <= c.e)) AS apart FROM (
+        SELECT p.key, p.r, p.us, p.seq, p.clock,
+          list_transform(list_filter(t.cells, lambda c: coalesce(c.e <= p.clock, false) AND NOT c.fired), lambda c: struct_pack(kind := 'fire', s := c.s, e := c.e, result := c.n, firing := c.k, us := CAST(NULL AS BIGINT), seq := CAST(NULL AS BIGINT))) AS due,
+          list_filter(list_transform(t.cells, lambda c: struct_pack(s := c.s, e := c.e, n := c.n, fired := c.fired OR coalesce(c.e <= p.clock, false), k := c.k + CASE WHEN coalesce(c.e <= p.clock, false) AND NOT c.fired THEN 1 ELSE 0 END)),
+            lambda c: NOT coalesce(c.e + {_FOLD_LATE} <= p.clock, false)) AS adv
+        FROM steps t JOIN placed p ON p.key = t.key AND p.r = t.r + 1))))
+), ended AS (SELECT key, max(r) AS r FROM placed GROUP BY key), said AS (
+  SELECT key, unnest(outs) AS o FROM steps
+  UNION ALL SELECT key, unnest(list_transform(list_filter(cells, lambda c: NOT c.fired), lambda c: struct_pack(kind := 'fire', s := c.s, e := c.e, result := c.n, firing := c.k, us := CAST(NULL AS BIGINT), seq := CAST(NULL AS BIGINT)))) AS o
+  FROM steps JOIN ended USING (key, r)
+)
+SELECT o.kind AS kind, key, {_at('o.s')} AS window_start, {_at('o.e')} AS window_end, o.result AS result, o.firing AS firing, {_at('o.us')} AS ts, o.seq AS seq FROM said"""

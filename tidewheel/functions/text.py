@@ -8,19 +8,36 @@ from pyspark.sql import functions as F
 #: Decimal and hexadecimal float literals, infinities and nan, with no blanks and
 #: no type suffix.
 _DECIMAL = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+_HEX = r"^[+-]?0[xX]([0-9a-fA-F]*)\.?([0-9a-fA-F]*)[pP]([+-]?\d+)$"
 _SPECIAL = r"^([+-]?[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])$"
 _PREFIX = r"^([+-]?\d{1,19})\|"
 
 
 def number(value: Column) -> Column:
     """The value as a double, or null if it does not parse as a whole or is out
-    of range (a finite literal never becomes infinite)."""
+    of range (a finite literal never becomes infinite). A hexadecimal literal
+    has an exponent and at most 13 digits that count."""
     plain = F.when(value.rlike(_DECIMAL), value.try_cast("double"))
+    plain = F.when(value.rlike(_HEX), _hexadecimal(value)).otherwise(plain)
     finite = F.when(F.abs(plain) < float("inf"), plain)
     special = F.when(F.lower(value).rlike("nan"), F.lit(float("nan"))).otherwise(F.when(value.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
     return F.when(value.rlike(_SPECIAL), special).otherwise(finite)
 
 
+def _hexadecimal(value: Column) -> Column:
+    """[sign] 0x digits [. digits] p exponent: the digits as a whole number, times
+    a power of two that places the point."""
+    part = lambda k: F.regexp_extract(value, _HEX, k)
+    digits = F.concat(part(1), part(2))
+    counted = F.regexp_replace(digits, "^0+(?=.)", "")
+    whole = F.when((F.length(digits) > 0) & (F.length(counted) <= 13), F.conv(counted, 16, 10).cast("double"))
+    power = part(3).try_cast("int") - F.length(part(2)) * 4
+    # In two steps, since one power alone may leave the range.
+    half = (power / 2).cast("int")
+    scaled = whole * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - half)
+    return F.when(value.startswith("-"), -scaled).otherwise(scaled)
+
+
 def float_text(x: Column) -> Column:
     """A double as shortest decimal text without an exponent: 3, 0.5, 10000000."""
     plain = x.cast("string")

@@ -30,6 +30,7 @@ class Aggregate:
 
 
 _DECIMAL = re.compile(r"[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?", re.ASCII)
+_HEX = re.compile(r"[+-]?0x([0-9a-f]*)\.?([0-9a-f]*)p[+-]?\d+", re.ASCII | re.IGNORECASE)
 _SPECIAL = re.compile(r"[+-]?inf(inity)?|nan", re.IGNORECASE)
 
 
@@ -39,6 +40,11 @@ def parse_number(value: str | None) -> float:
         return 0.0
     if _SPECIAL.fullmatch(value):
         return float(value)
+    if (found := _HEX.fullmatch(value)) and 0 < len(digits := found[1] + found[2]) and len(digits.lstrip("0")) <= 13:
+        try:
+            return float.fromhex(value)
+        except OverflowError:
+            return 0.0
     x = float(value) if _DECIMAL.fullmatch(value) else 0.0
     return x if math.isfinite(x) else 0.0
 

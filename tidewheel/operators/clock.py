@@ -24,19 +24,21 @@ def with_clock(rows: DataFrame, bound: timedelta | int | float | str, order: tup
     consecutive `order[0]` instead: one maximum per bucket, a prefix maximum
     over the buckets, and a running maximum inside each. The buckets' table,
     which alone is broadcast, has rows / bucket_rows rows (one is added for
-    every gap of a whole bucket that is not empty)."""
+    every gap of a whole bucket that is not empty). Rows without a place
+    (order[0] is null) come before all others, as they sort."""
     first = order[0]
     low, high, n = rows.agg(F.min(first), F.max(first), F.count(F.lit(1))).first()
     if not n:
         return rows.withColumn("clock", F.lit(None).cast("timestamp_ntz"))
     buckets = max(1, -(-n // bucket_rows))
-    width = max(1, -(-(high - low + 1) // buckets))
+    buckets = 1 if low is None else buckets
+    width = 1 if low is None else max(1, -(-(high - low + 1) // buckets))
     us = rows.withColumn("__us", epoch_us("ts"))
     inside = W.partitionBy("__bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     if buckets == 1:
         with_max = us.withColumn("__bucket", F.lit(0)).withColumn("__max", F.max("__us").over(inside))
     else:
-        us = us.withColumn("__bucket", F.expr(f"({first} - {low}L) div {width}L"))
+        us = us.withColumn("__bucket", F.coalesce(F.expr(f"({first} - {low}L) div {width}L"), F.lit(-1).cast("long")))
         per = us.groupBy("__bucket").agg(F.max("__us").alias("__top"))
         before = per.select(F.col("__bucket").alias("__b"), F.max("__top").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
         joined = us.join(F.broadcast(before), F.col("__bucket") == F.col("__b"))

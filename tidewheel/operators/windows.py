@@ -66,8 +66,8 @@ class Sliding:
             return _none(rows)
         at = rows.withColumn("us", epoch_us("ts"))
         last = F.col("us") - F.pmod(F.col("us"), F.lit(slide))
-        steps = [last - slide * k for k in range((size - 1) // slide, -1, -1)]
-        at = at.withColumn("start", F.explode(F.array(*steps))).where(F.col("start") + size > F.col("us"))
+        first = last - (size - 1) // slide * slide
+        at = at.withColumn("start", F.explode(F.sequence(first, last, F.lit(slide).cast("long")))).where(F.col("start") + size > F.col("us"))
         return at.withColumn("window_start", from_us(F.col("start"))).withColumn("window_end", from_us(F.col("start") + size)).drop("us", "start")
 
 

@@ -1,6 +1,6 @@
 """Plans of a job over bounded rows."""
 
 from .bounded import late_rows, window_results, windowed
-from .process import dedup, key_counts, list_state, running_count
+from .process import dedup, list_state, running_count
 
-__all__ = ["dedup", "key_counts", "late_rows", "list_state", "running_count", "window_results", "windowed"]
+__all__ = ["dedup", "late_rows", "list_state", "running_count", "window_results", "windowed"]

@@ -22,14 +22,12 @@ def running_count(rows: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFra
 
 
 def list_state(rows: DataFrame, last: int, order: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """(key, values): the last values of each key in arrival order."""
-    back = W.partitionBy("key").orderBy(*[F.desc(c) for c in order])
-    kept = rows.withColumn("back", F.row_number().over(back)).where(F.col("back") <= last)
+    """(key, values): the last values of each key in arrival order. A first pass
+    keeps the last ones of each slice of a key (slices by a hash of its rows), so
+    the rows of a hot key never stand in one task together."""
+    slices = F.pmod(F.xxhash64(*order), F.lit(64)).alias("slice")
+    keyed = rows.select("key", "value", F.struct(*order).alias("at"), slices)
+    first = keyed.withColumn("back", F.row_number().over(W.partitionBy("key", "slice").orderBy(F.desc("at")))).where(F.col("back") <= last)
+    kept = first.withColumn("back", F.row_number().over(W.partitionBy("key").orderBy(F.desc("at")))).where(F.col("back") <= last)
     found = kept.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("back", "value")), asc=False).alias("l"))
     return found.select("key", F.col("l.value").alias("values"))
-
-
-def key_counts(rows: DataFrame, states: tuple[str, ...]) -> DataFrame:
-    """(state, n_keys): keys that hold each named state after all rows."""
-    n = rows.agg(F.countDistinct("key").alias("n_keys"))
-    return n.select(F.explode(F.array(*[F.lit(s) for s in states])).alias("state"), "n_keys")
