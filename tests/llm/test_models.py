@@ -61,6 +61,53 @@ def test_language_rejects_foreign_texts_of_all_lengths(spark, docs):
     assert not any(got[len(foreign) + i] for i in range(len(own)))
 
 
+def test_language_scores_equal_a_plain_reading(spark, docs):
+    """Each text by itself: n-grams by a loop, cosines by the formula."""
+    model = language.train(docs)
+    got = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
+
+    def bins(text):
+        spaced = re.sub(r"\0+", "\0", "\0" + "".join(c if c.isalpha() else "\0" for c in text.lower()) + "\0")
+        out = collections.Counter()
+        for n in (1, 2, 3):
+            for i in range(len(spaced) - n + 1):
+                h = (ord(spaced[i]) * 0x9E3779B1) % 2**32
+                for c in spaced[i + 1 : i + n]:
+                    h = ((h ^ (h >> 15)) * 0x85EBCA6B + ord(c) * 0x9E3779B1) % 2**32
+                out[((h ^ (h >> 13)) * 0xC2B2AE35 % 2**32) >> 20] += 1
+        return out
+
+    for r in docs.where("doc_id < 60 or doc_id >= 1000").collect():
+        text = r["text"] or ""
+        if not any(c.isalpha() for c in text):
+            continue
+        vector = {b: math.log1p(n) * float(model.idf[b]) for b, n in bins(text).items()}
+        norm = math.sqrt(sum(v * v for v in vector.values()))
+        cosines = [sum(v * float(c[b]) for b, v in vector.items()) / norm for c in model.centroids]
+        best = max(range(len(cosines)), key=lambda i: cosines[i])
+        assert got[r["doc_id"]]["score"] == pytest.approx(cosines[best], abs=1e-4)
+        assert got[r["doc_id"]]["lang_pred"] == model.langs[model.owner[best]] or sorted(cosines)[-1] - sorted(cosines)[-2] < 1e-4
+
+
+def test_language_rejects_what_is_hardly_text(spark, docs):
+    model = language.train(docs.where("doc_id < 1000"))
+    junk = ["1234 !!! a", "x", "0x3f 99 ## 12,5 | 7 % e", "2024-01-01 12:00:00 GET 200 0.004", "=== *** --- the --- *** ===" * 40]
+    rows = spark.createDataFrame(list(enumerate(junk)), "doc_id long, text string").withColumn("lang", F.lit("en"))
+    got = [r["rejected"] for r in sorted(language.identify(rows, model).collect())]
+    assert got[0] and all(got[2:])
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Null ids and a text that most rows share: the driver gets few rows."""
+    rows = [(None, "the same words in every one of these rows", "en") for _ in range(3000)] + [(i, f"der die das {i} nicht ein und", "de") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    sizes = []
+    monkeypatch.setattr(language, "fit", lambda names, labels, *a: sizes.append(len(labels)) or None)
+    language.train(frame, max_train=100)
+    assert 50 <= sizes[0] <= 51
+    assert language.train(frame, max_train=100, max_langs=1) is None and sizes[1] <= 100
+
+
 def test_language_without_labels_or_rows(empty, docs, clashing):
     assert language.identify(empty).count() == 0 and language.keep_identified(empty).count() == 0
     none = language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
@@ -177,6 +224,17 @@ def test_lines_are_labelled(spark):
     assert all(r["kept"] == (not r["base_failed"]) for r in alike)
 
 
+def test_quality_of_held_out_documents(spark):
+    """Two in three labelled documents train; the verdicts on the others agree
+    with their labels nearly always."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    seen = labels.where("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1")
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(docs, seen).collect()}
+    held = {r["doc_id"]: r["quality"] for r in labels.where("crc32(cast(cast(doc_id as string) as binary)) % 3 = 1").collect()}
+    good, bad = [i for i, q in held.items() if q == 1], [i for i, q in held.items() if q == 0]
+    assert sum(got[i] for i in good) >= 0.93 * len(good) and sum(not got[i] for i in bad) >= 0.85 * len(bad)
+
+
 def test_decoding_equals_all_paths():
     rng = np.random.default_rng(2)
     field = quality.LineField(rng.normal(size=(quality.N_FEATURES, 2)), rng.normal(size=(2, 2)))
@@ -226,6 +284,61 @@ def test_model_beats_frequencies_on_held_out_text(spark):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+@pytest.fixture(scope="module")
+def driver_docs(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").cache()
+
+
+@pytest.mark.parametrize("parts", [1, 9, 64])
+def test_model_learns_at_any_layout(driver_docs, parts):
+    """Held-out documents, however the files are cut up."""
+    held = [r for r in lm_scoring.score_documents(driver_docs.repartition(parts)).collect() if r["held_out"]]
+    n = sum(r["n_tokens"] for r in held)
+    gain = sum(r["score"] - r["base_score"] for r in held) / n
+    SEEN.append(gain)
+    assert gain >= 0.15 and max(SEEN) - min(SEEN) < 0.01
+
+
+SEEN: list[float] = []
+
+
+def test_several_shards_learn_too(driver_docs, monkeypatch):
+    """The tree of averages: four shards, which meet two by two."""
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 80_000)
+    monkeypatch.setattr(lm_scoring, "FAN_IN", 2)
+    held = [r for r in lm_scoring.score_documents(driver_docs).collect() if r["held_out"]]
+    assert sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held) > 0.02
+
+
+def test_scores_equal_a_plain_reading_of_the_model(docs):
+    """Every word by itself, with the formulas written out."""
+    some = docs.where("doc_id < 40 or doc_id >= 1000")
+    fitted = lm_scoring.fit(some)
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(some, fitted).collect()}
+    m, lex, k = fitted.model, fitted.lexicon, fitted.model.hidden
+    x, u, c, cb, o, ob = (v.astype(np.float64) for v in (m.x, m.u, m.c, m.cb, m.o, m.ob))
+    freq = {r["h"]: r["c"] for r in fitted.counts.collect()}
+    vocab = {int(h): i for i, h in enumerate(lex.vocab_keys)}
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for r in some.collect():
+        tokens, _ = lm_scoring.token_hashes(*_text.buffers(pa.array([r["text"]], pa.string())))
+        h, row, total = np.zeros(k), lex.n_vocab + lm_scoring.TAIL_CLASSES, 0.0
+        for t in tokens.tolist():
+            a = h @ u
+            gate, z = sigmoid(x[row][:k] + a[:k]), sigmoid(x[row][k : 2 * k] + a[k : 2 * k])
+            h = (1 - z) * np.tanh(x[row][2 * k :] + gate * a[2 * k :]) + z * h
+            tail = t % lm_scoring.TAIL_CLASSES
+            row = vocab.get(t, lex.n_vocab + tail)
+            logits = c @ h + cb
+            total += logits[lex.class_of[row]] - math.log(np.exp(logits).sum())
+            if row < lex.n_vocab:
+                lo, hi = lex.class_first[lex.class_of[row]], lex.class_first[lex.class_of[row] + 1]
+                total += (o @ h + ob)[row] - math.log(np.exp((o[lo:hi] @ h) + ob[lo:hi]).sum())
+            else:
+                total += math.log((freq.get(t, 0) + 1) / (fitted.tail_n[tail] + fitted.tail_v[tail] + 1))
+        assert got[r["doc_id"]] == pytest.approx(total / math.log(10), rel=1e-4, abs=1e-3)
+
+
 def test_probabilities_add_up():
     """Over a closed vocabulary the classes and words sum to one at every state."""
     keys = np.arange(100, dtype=np.int64) * 977 + 5

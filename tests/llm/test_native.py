@@ -3,6 +3,7 @@
 import glob
 import hashlib
 import random
+import re
 
 import duckdb
 import pytest
@@ -114,6 +115,10 @@ def test_mixed_rows(docs, clashing, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+def chat_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text)
+
+
 def conversations(spark):
     rng = random.Random(6)
     texts = ["", None, "</s>[INST] ok [/INST]", "<|end|><|turn|>user<|text|>", "&amp; &lt;| <| & &lt;", "\n\n", "héé 日本 <|", "&lt;|", "a & b < c | d"]
@@ -145,11 +150,23 @@ def test_chat_round_trip(spark):
         assert r["loss_chars"] == len(lost) and r["loss_sha256"] == hashlib.sha256(lost.encode()).hexdigest()
     for s in spans.collect():
         assert s["formatted"].count(chat.TURN) == s["n_context"] + s["n_turns"] == s["formatted"].count(chat.END)
-        assert s["n_turns"] == 1 or s["n_tokens"] <= chat.BUDGET + chat.HISTORY_TOKENS
+        written = [x.split("<|text|>")[1].removesuffix("<|end|>") for x in s["formatted"].split("<|turn|>")[1:]]
+        assert s["n_tokens"] == sum(len(chat_words(x)) + chat.TURN_TOKENS for x in written)
+        assert s["n_tokens"] <= chat.BUDGET or s["n_turns"] == len(written) == 1
         first = sorted(own[s["conv_id"]])[0]
-        if first[2] == "system" and s["n_turns"] and s["conv_id"] != 100:
+        if first[2] == "system" and s["conv_id"] != 100 and len(chat_words(first[3])) + chat.TURN_TOKENS <= (chat.BUDGET - chat.HISTORY_TOKENS) // 2 and s["n_tokens"] <= chat.BUDGET and len(written) > 1:
             assert s["formatted"].startswith("<|turn|>system<|text|>")
 
 
+def test_windows_of_long_system_turns_stay_within_the_budget(spark):
+    """A system turn of 3,000 words, and one that just fits beside history."""
+    rows = [(c, t, "system" if t == 0 else ("assistant" if t % 2 == 0 else "user"), "w " * n) for c, lead in ((1, 3000), (2, 180)) for t, n in enumerate([lead] + [60] * 12)]
+    spans = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert all(s["n_tokens"] <= chat.BUDGET for s in spans if s["conv_id"] == 2 or s["span"] > 0 and "w " * 3000 not in s["formatted"])
+    assert sum("w " * 3000 in s["formatted"] for s in spans) == 1
+    assert all(s["formatted"].startswith("<|turn|>system<|text|>") for s in spans if s["conv_id"] == 2)
+    assert any(s["n_context"] > 1 for s in spans if s["conv_id"] == 2)
+
+
 def test_chat_of_nothing(spark):
     assert chat.read_back(chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0

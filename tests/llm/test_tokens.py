@@ -30,7 +30,7 @@ def ids_of(text, word):
     return word.encode(text or "", add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("limit", [2_500_000, 10])
+@pytest.mark.parametrize("limit", [_tokens.CACHE_BYTES, 10])
 def test_spans_equal_whole_texts(word, limit):
     rng = random.Random(1)
     texts = ODD + ["".join(rng.choice("aBé .,\n\t'<|>1×日́Σ▁") for _ in range(rng.randint(0, 60))) for _ in range(1500)]
@@ -46,6 +46,17 @@ def test_spans_equal_whole_texts(word, limit):
             assert ids[sums[first[i]] : sums[first[i + 1]]].tolist() == ids_of(t, word), t
 
 
+def test_other_tokenizer_files_get_whole_texts(spark, docs, tmp_path):
+    """The byte-level vocabulary, which keeps case and white space."""
+    path = _tokens.default_path("byte_bpe_50k.json")
+    token_output.write_tokens(docs, str(tmp_path / "out"), tokenizer=path)
+    plain = Tokenizer.from_file(path)
+    got = {r["doc_id"]: r for r in token_output.read_tokens(spark, str(tmp_path / "out")).collect()}
+    for r in docs.collect():
+        ids = np.array([*plain.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4")
+        assert (got[r["doc_id"]]["n_tokens"], got[r["doc_id"]]["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_counts_equal_whole_texts(spark, docs, piece):
     rng = random.Random(2)
     texts = ODD + ["".join(rng.choice("aBé .,\n\t▁日") for _ in range(rng.randint(0, 60))) for _ in range(1500)]

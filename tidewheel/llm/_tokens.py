@@ -7,6 +7,7 @@ once; spans seen before come from a sorted array of 64-bit span hashes.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable
 
@@ -15,15 +16,17 @@ import numpy as np
 from ._text import Words, _LOWER, span_hashes
 
 END_ID = 1
+#: What a process keeps of spans encoded before.
+CACHE_BYTES = 24 << 20
 
 
 class SpanCache:
     """Token ids (or only their number) of byte spans, by span hash.
 
-    Holds about `limit` spans; when it overflows, only the spans of the block
+    Holds about `limit` bytes; when it overflows, only the spans of the block
     at hand stay. Results never depend on what the cache holds."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 2_500_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = CACHE_BYTES):
         self.encode, self.limit = encode, limit
         self._clear()
 
@@ -39,7 +42,7 @@ class SpanCache:
         if not len(hashes):
             return np.zeros(0, np.int64)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > self.limit:
+        if self.keys.nbytes + self.lens.nbytes + self.at.nbytes + self.pool.nbytes > self.limit:
             self._clear()
         pos = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)
@@ -52,11 +55,10 @@ class SpanCache:
             if self.used + len(ids) > len(self.pool):
                 self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), 2 * len(ids)), np.uint32)])
             self.pool[self.used : self.used + len(ids)] = ids
-            keys = np.concatenate([self.keys, distinct[new]])
-            order = np.argsort(keys, kind="stable")
-            self.keys = keys[order]
-            self.lens = np.concatenate([self.lens, lens.astype(np.int32)])[order]
-            self.at = np.concatenate([self.at, self.used + np.cumsum(lens) - lens if len(ids) else np.zeros(len(new), np.int64)])[order]
+            at = self.used + np.cumsum(lens) - lens if len(ids) else np.zeros(len(new), np.int64)
+            self.lens = np.insert(self.lens, pos[new], lens.astype(np.int32))
+            self.at = np.insert(self.at, pos[new], at)
+            self.keys = np.insert(self.keys, pos[new], distinct[new])
             self.used += len(ids)
             pos = np.searchsorted(self.keys, distinct)
         return pos[inverse]
@@ -69,7 +71,17 @@ class SpanCache:
         return self.pool[index], lens
 
 
-# --- word-end BPE of the tokenizers library ---------------------------------
+# --- the tokenizers library ---------------------------------------------------
+
+# The settings under which word_spans cuts where nothing joins.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 _PUNCT = np.zeros(256, bool)
 _PUNCT[list(b".,!?;:#$%&*()")] = True
@@ -108,13 +120,35 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, span_hashes(lowered, starts, ends, False), np.searchsorted(starts, offsets)
 
 
-def word_encoder(path: str) -> Callable:
-    """Encode many spans in one call each: a special token stands between them,
-    which the library splits off first. Spans that hold `<|` go one by one."""
+def json_tokenizer(path: str) -> tuple[Callable, Callable]:
+    """(spans function, encoder) of a tokenizers file. Texts are cut into words
+    only under the settings that word_spans knows; any other file gets whole
+    texts, one by one."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    specials = [t["content"] for t in spec.get("added_tokens") or []]
+    cuttable = (
+        spec.get("normalizer") == WORD_NORMALIZER and spec.get("pre_tokenizer") == WORD_SPLIT and not spec.get("post_processor") and not spec.get("truncation") and not spec.get("padding")
+        and all(x.startswith("<|") and x.endswith("|>") and x[2:-2].isalpha() for x in specials)
+    )
+
+    def whole(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lens, parts = [], [np.zeros(0, np.uint32)]
+        for text in texts:
+            parts.append(np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32))
+            lens.append(len(parts[-1]))
+        return np.array(lens, np.int64), np.concatenate(parts)
+
+    return (word_spans, _joining(tok)) if cuttable else (whole_spans, whole)
+
+
+def _joining(tok) -> Callable:
+    """Encode many words in one call each: a special token stands between them,
+    which the library splits off first. Spans that hold `<|` go one by one."""
     separator = tok.token_to_id(_SEPARATOR)
 
     def encode(spans: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -214,7 +248,7 @@ def loaded(kind: str, path: str) -> tuple[Callable, SpanCache]:
         if path.endswith(".model"):
             spans, encode = piece_model(path)
         else:
-            spans, encode = word_spans, word_encoder(path)
+            spans, encode = json_tokenizer(path)
         _LOADED[kind, path] = spans, SpanCache(encode)
     return _LOADED[kind, path]
 

@@ -110,16 +110,19 @@ WITH turns AS (
   FROM turns
 ), placed AS (
   SELECT *, row_number() OVER w AS idx, sum(tokens) OVER w - tokens AS before FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
+), led AS (
+  SELECT *, CASE WHEN first(role) OVER w = 'system' AND first(tokens) OVER w <= 192 THEN first(tokens) OVER w ELSE 0 END AS system_tokens, first(chars) OVER w AS first_chars
+  FROM placed WINDOW w AS (PARTITION BY conv_id ORDER BY idx ROWS UNBOUNDED PRECEDING)
 ), spans AS (
-  SELECT *, 2 * (before // 512) + CASE WHEN before // 512 <> (before + tokens - 1) // 512 THEN 1 ELSE 0 END AS span FROM placed
+  SELECT *, 384 - system_tokens AS room, tokens > 384 - system_tokens AS alone,
+    2 * (before // (384 - system_tokens)) + CASE WHEN before // (384 - system_tokens) <> (before + tokens - 1) // (384 - system_tokens) THEN 1 ELSE 0 END AS span FROM led
 ), starts AS (
   SELECT *, coalesce(lag(span) OVER w <> span, true) AS start,
-    before - lag(before, 1) OVER w <= 256 AS near1, before - lag(before, 2) OVER w <= 256 AS near2, lag(chars, 1) OVER w AS chars1, lag(chars, 2) OVER w AS chars2,
-    CASE WHEN first(role) OVER w = 'system' THEN first(chars) OVER w END AS system_chars
+    before - lag(before, 1) OVER w <= 128 AS near1, before - lag(before, 2) OVER w <= 128 AS near2, lag(chars, 1) OVER w AS chars1, lag(chars, 2) OVER w AS chars2
   FROM spans WINDOW w AS (PARTITION BY conv_id ORDER BY idx ROWS UNBOUNDED PRECEDING)
 ), counted AS (
-  SELECT *, chars + CASE WHEN NOT start THEN 0 ELSE CASE WHEN near1 THEN chars1 ELSE 0 END + CASE WHEN near2 THEN chars2 ELSE 0 END
-    + CASE WHEN idx > 1 AND system_chars IS NOT NULL AND NOT (idx = 2 AND coalesce(near1, false)) AND NOT (idx = 3 AND coalesce(near2, false)) THEN system_chars ELSE 0 END END AS written
+  SELECT *, chars + CASE WHEN NOT start OR alone THEN 0 ELSE CASE WHEN near1 THEN chars1 ELSE 0 END + CASE WHEN near2 THEN chars2 ELSE 0 END
+    + CASE WHEN idx > 1 AND system_tokens > 0 AND NOT (idx = 2 AND coalesce(near1, false)) AND NOT (idx = 3 AND coalesce(near2, false)) THEN first_chars ELSE 0 END END AS written
   FROM starts
 )
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx)) AS turns_sha256,

@@ -1,10 +1,13 @@
 """Chat formatting in budgeted windows.
 
-Prefix sums of turn tokens cut a conversation into turn-aligned spans of at
-most `budget` tokens (a turn that crosses a budget line stands alone). Each
-span is written with the conversation's system turn and a limited number of the
-turns before it; those are context. The loss mask covers the assistant texts of
-the span's own turns, so each target is learned once. DataFrame functions only.
+Prefix sums of turn tokens cut a conversation into turn-aligned spans. Each span
+is written with the conversation's system turn and a limited number of the turns
+before it; those are context. What a span writes stays within `budget` tokens:
+its own turns get what the system turn and `history_tokens` leave. A system turn
+that would take more than half of the budget is written only at its own place. A
+turn over that share stands alone, without history or system turn, and is the
+only thing that may exceed the budget. The loss mask covers the assistant texts
+of the span's own turns, so each target is learned once. DataFrame functions only.
 
 Template: <|turn|>role<|text|>text<|end|> for each turn. In roles and texts `&`
 is written `&amp;` and `<|` is written `&lt;|`, so no control string can stand
@@ -22,7 +25,7 @@ from ._native import word_count
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 BUDGET = 512
 HISTORY_TURNS = 2
-HISTORY_TOKENS = 256
+HISTORY_TOKENS = 128
 TURN_TOKENS = 4
 
 
@@ -37,33 +40,41 @@ def restored(text: Column) -> Column:
 def format_conversations(turns: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, span, n_context, n_turns, n_tokens, formatted, loss) per span.
 
-    Turn tokens are words plus TURN_TOKENS. formatted holds n_context turns of
-    context, then n_turns own turns; loss is an array of (at, n): places in
-    formatted, in code points from 0. The system turn is the first turn if its
-    role is `system`. Null texts and roles are empty; equal turn numbers are
-    ordered by role and text, null ones come first; a null conversation id is a
-    conversation. An empty table gives no spans; other columns are ignored."""
+    Turn tokens are words plus TURN_TOKENS; n_tokens counts every turn written.
+    formatted holds n_context turns of context, then n_turns own turns; loss is
+    an array of (at, n): places in formatted, in code points from 0. The system
+    turn is the first turn if its role is `system`. Null texts and roles are
+    empty; equal turn numbers are ordered by role and text, null ones come first;
+    a null conversation id is a conversation. A very long text is a turn like any
+    other. An empty table gives no spans; other columns are ignored."""
+    if history_tokens * 2 > budget:
+        raise ValueError("history_tokens must leave half of the budget")
     rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("tokens", word_count(F.col("text")) + TURN_TOKENS)
     order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    rows = rows.withColumn("idx", F.row_number().over(order)).withColumn("before", F.sum("tokens").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("tokens"))
-    block, last = F.expr(f"before div {budget}"), F.expr(f"(before + tokens - 1) div {budget}")
-    rows = rows.withColumn("span", block * 2 + (block != last).cast("long"))
+    first = order.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("idx", F.row_number().over(order)).withColumn("before", F.sum("tokens").over(first) - F.col("tokens"))
     rows = rows.withColumn("head", F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(TEXT))).withColumn("body", escaped(F.col("text")))
+    fits = (F.first("role").over(first) == "system") & (F.first("tokens").over(first) <= (budget - history_tokens) // 2)
+    rows = rows.withColumn("system", F.when(fits, F.first(F.concat("head", "body", F.lit(END))).over(first)))
+    rows = rows.withColumn("system_tokens", F.when(fits, F.first("tokens").over(first)).otherwise(F.lit(0)))
+    rows = rows.withColumn("room", budget - history_tokens - F.col("system_tokens"))
+    block, last = F.expr("before div room"), F.expr("(before + tokens - 1) div room")
+    rows = rows.withColumn("span", block * 2 + (block != last).cast("long"))
     rows = rows.withColumn("start", F.coalesce(F.lag("span").over(order) != F.col("span"), F.lit(True)))
-    first = order.rowsBetween(W.unboundedPreceding, 0)
-    system = F.when(F.first("role").over(first) == "system", F.first(F.concat("head", "body", F.lit(END))).over(first))
-    rows = rows.withColumn("system", system)
-    places = [F.struct(F.col("span").alias("span"), F.lit(True).alias("own"), F.col("system").alias("system"))]
+    # A turn over the room has a span of its own, without context.
+    rows = rows.withColumn("alone", F.col("tokens") > F.col("room"))
+    places = [F.struct(F.col("span").alias("span"), F.lit(True).alias("own"), F.when(~F.col("alone"), F.struct("system", "system_tokens")).alias("system"))]
+    none = F.lit(None).cast("struct<system:string,system_tokens:bigint>")
     for k in range(1, history_turns + 1):
-        near = F.lead("start", k).over(order) & (F.lead("before", k).over(order) - F.col("before") <= history_tokens)
+        near = F.lead("start", k).over(order) & ~F.lead("alone", k).over(order) & (F.lead("before", k).over(order) - F.col("before") <= history_tokens)
         rows = rows.withColumn(f"next{k}", F.when(near, F.lead("span", k).over(order)))
-        places.append(F.when(F.col(f"next{k}").isNotNull(), F.struct(F.col(f"next{k}").alias("span"), F.lit(False).alias("own"), F.lit(None).cast("string").alias("system"))))
+        places.append(F.when(F.col(f"next{k}").isNotNull(), F.struct(F.col(f"next{k}").alias("span"), F.lit(False).alias("own"), none.alias("system"))))
     rows = rows.withColumn("place", F.explode(F.array_compact(F.array(*places))))
     part = F.struct("idx", F.col("place.own").alias("own"), "role", "head", "body", "tokens")
     spans = rows.groupBy("conv_id", F.col("place.span").alias("span")).agg(F.sort_array(F.collect_list(part)).alias("parts"), F.max("place.system").alias("system"))
-    lead = F.when((F.col("parts")[0]["idx"] > 1) & F.col("system").isNotNull(), F.col("system")).otherwise(F.lit(""))
-    spans = spans.withColumn("lead", lead)
+    spans = spans.withColumn("leads", (F.col("parts")[0]["idx"] > 1) & F.col("system.system").isNotNull())
+    spans = spans.withColumn("lead", F.when(F.col("leads"), F.col("system.system")).otherwise(F.lit("")))
     text = F.concat("lead", F.expr(f"array_join(transform(parts, p -> concat(p.head, p.body, '{END}')), '')"))
     loss = F.expr(
         "aggregate(parts, struct(length(lead) as at, array(struct(0 as at, 0 as n)) as found), (a, p) -> struct("
@@ -72,8 +83,9 @@ def format_conversations(turns: DataFrame, budget: int = BUDGET, history_turns:
         " a -> slice(a.found, 2, size(a.found)))"
     )
     own = F.expr("size(filter(parts, p -> p.own))")
+    n_tokens = F.expr("aggregate(parts, 0L, (a, p) -> a + p.tokens)") + F.when(F.col("leads"), F.col("system.system_tokens")).otherwise(F.lit(0))
     return spans.select(
-        "conv_id", "span", (F.size("parts") - own + (F.col("lead") != "").cast("int")).alias("n_context"), own.alias("n_turns"), F.expr("aggregate(parts, 0L, (a, p) -> a + p.tokens)").alias("n_tokens"), text.alias("formatted"), loss.alias("loss"),
+        "conv_id", "span", (F.size("parts") - own + F.coalesce(F.col("leads"), F.lit(False)).cast("int")).alias("n_context"), own.alias("n_turns"), n_tokens.alias("n_tokens"), text.alias("formatted"), loss.alias("loss"),
     )
 
 

@@ -5,7 +5,8 @@ lower-cased letters (other characters act as one space), scaled to length one.
 Each language has several centroids (spherical k-means over its training
 vectors); the language of the centroid with the largest cosine wins. A text
 much farther from its centroid than training texts of like length (see REJECT),
-or mostly of letters of scripts that its language does not use, is rejected.
+mostly of letters of scripts that its language does not use, or of far fewer
+letters among its characters than training texts, is rejected.
 """
 
 from __future__ import annotations
@@ -31,23 +32,26 @@ UNKNOWN = "und"
 REJECT, LOW, LIKE = 0.6, 0.02, 20
 #: Scripts are told by blocks of 128 code points. A language uses those that a
 #: hundredth of its training texts have; a text with less than this share of its
-#: letters in them is rejected.
+#: letters in them is rejected, and so is one whose letters in them are a smaller
+#: part of its characters than REJECT of the LOW quantile of training texts (than
+#: SCRIPT at most).
 SCRIPT, SCRIPTS = 0.5, 0x110000 >> 7
 BLOCK = 1 << 20
 
-_LETTERS: list[np.ndarray] = []
+_TABLES: dict[str, np.ndarray] = {}
 
 
-def _letters() -> np.ndarray:
-    if not _LETTERS:
-        _LETTERS.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
-    return _LETTERS[0]
+def _table(kind: str) -> np.ndarray:
+    """Whether str.<kind> holds for each code point."""
+    if kind not in _TABLES:
+        _TABLES[kind] = np.fromiter((getattr(chr(i), kind)() for i in range(0x110000)), bool, 0x110000)
+    return _TABLES[kind]
 
 
 def gram_counts(text: str) -> np.ndarray | None:
     """Hashed n-gram counts of a whole text; None if it has no letter."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    letter = _letters()[codes]
+    letter = _table("isalpha")[codes]
     if not letter.any():
         return None
     codes = np.concatenate((np.zeros(1, np.uint32), np.where(letter, codes, 0).astype(np.uint32), np.zeros(1, np.uint32)))
@@ -65,24 +69,28 @@ def gram_counts(text: str) -> np.ndarray | None:
     return out
 
 
-def scripts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The blocks of a text's letters and how many letters are in each."""
+def scripts(text: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """The blocks of a text's letters, how many letters are in each, and how many
+    characters the text has beside white space."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    found = np.bincount(codes[_letters()[codes]] >> np.uint32(7))
+    found = np.bincount(codes[_table("isalpha")[codes]] >> np.uint32(7))
     blocks = np.flatnonzero(found)
-    return blocks, found[blocks]
+    return blocks, found[blocks], int(len(codes) - _table("isspace")[codes].sum())
 
 
 class Model:
     """idf, unit centroids with their language, the cosine each language and
-    length class must reach, and the script blocks each language uses."""
+    length class must reach, the script blocks each language uses, and the share
+    of a text's characters that letters in them must have."""
 
-    def __init__(self, langs: list[str], idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, floors: np.ndarray, known: np.ndarray):
-        self.langs, self.idf, self.centroids, self.owner, self.floors, self.known = langs, idf, centroids, owner, floors, known
+    def __init__(self, langs: list[str], idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, floors: np.ndarray, known: np.ndarray, shares: np.ndarray):
+        self.langs, self.idf, self.centroids, self.owner, self.floors, self.known, self.shares = langs, idf, centroids, owner, floors, known, shares
 
-    def foreign(self, lang: int, blocks: np.ndarray, letters: np.ndarray) -> bool:
-        """Whether too few letters are of scripts that a language uses."""
-        return bool(letters[self.known[lang, blocks]].sum() < SCRIPT * letters.sum())
+    def foreign(self, lang: int, blocks: np.ndarray, letters: np.ndarray, solid: int) -> bool:
+        """Whether too few letters, or too few characters, are letters of scripts
+        that a language uses."""
+        own = letters[self.known[lang, blocks]].sum()
+        return bool(own < SCRIPT * letters.sum() or own < self.shares[lang] * solid)
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         return unit(np.log1p(counts.astype(np.float32)) * self.idf)
@@ -116,9 +124,9 @@ def _apart(own: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.clip(cosines.max(1), 0, 1)
 
 
-def fit(langs: list[str], labels: np.ndarray, counts: np.ndarray, blocks: list[np.ndarray], centroids: int = CENTROIDS, rounds: int = 12) -> Model:
-    """Fit from training counts and the script blocks of each training text;
-    labels index langs."""
+def fit(langs: list[str], labels: np.ndarray, counts: np.ndarray, blocks: list[np.ndarray], letters: np.ndarray, centroids: int = CENTROIDS, rounds: int = 12) -> Model:
+    """Fit from training counts, the script blocks of each training text and the
+    letters' part of its characters; labels index langs."""
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
     x = unit(np.log1p(counts.astype(np.float32)) * idf)
     centers, owner = [], []
@@ -137,9 +145,11 @@ def fit(langs: list[str], labels: np.ndarray, counts: np.ndarray, blocks: list[n
         owner += [k] * len(c)
     c, owner = np.concatenate(centers), np.array(owner)
     floors, classes = np.zeros((len(langs), 40), np.float32), length_class(counts)
+    shares = np.zeros(len(langs))
     for k in range(len(langs)):
         if not (labels == k).any():
             continue
+        shares[k] = min(SCRIPT, REJECT * np.quantile(letters[labels == k], LOW))
         own = _apart(x[labels == k], c[owner == k])
         for size in range(floors.shape[1]):
             away = abs(classes[labels == k] - size)
@@ -149,44 +159,53 @@ def fit(langs: list[str], labels: np.ndarray, counts: np.ndarray, blocks: list[n
     for k, x in zip(labels, blocks, strict=True):
         known[k, x] += 1
     known = known >= np.maximum(1, np.bincount(labels, minlength=len(langs)) / 100)[:, None]
-    return Model(langs, idf, c.astype(np.float32), owner, floors, known)
+    return Model(langs, idf, c.astype(np.float32), owner, floors, known, shares)
 
 
 def _sample_counts(batches):
+    """One row for each sampled key of a task: equal rows share a key."""
+    seen = set()
     for batch in batches:
-        texts = batch.column(2).to_pylist()
-        found = [gram_counts(x) for x in texts]
-        rows = [i for i, x in enumerate(found) if x is not None]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(rows, pa.int64())), batch.column(1).take(pa.array(rows, pa.int64())), pa.array([np.minimum(found[i], 65535).astype(np.uint16).tobytes() for i in rows], pa.binary()), pa.array([scripts(texts[i])[0].astype(np.uint16).tobytes() for i in rows], pa.binary())],
-            names=["key", "lang", "counts", "blocks"],
-        )
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN) -> Model | None:
-    """Fit on a bounded sample, spread evenly over languages and chosen by a hash
-    of the id, of the labelled rows whose crc32(doc_id) mod 4 is not 2; None if
-    there is no such row with a letter."""
+        for key, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if (key, lang) in seen:
+                continue
+            seen.add((key, lang))
+            text = text.as_py()
+            counts = gram_counts(text)
+            if counts is not None:
+                blocks, letters, solid = scripts(text)
+                row = [key], [lang], [np.minimum(counts, 65535).astype(np.uint16).tobytes()], [blocks.astype(np.uint16).tobytes()], [letters.sum() / solid]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(row, (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64()), strict=True)], names=["key", "lang", "counts", "blocks", "letters"])
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN, max_langs: int = MAX_LANGS) -> Model | None:
+    """Fit on a bounded sample of the labelled rows whose crc32(doc_id) mod 4 is
+    not 2, spread evenly over languages and chosen by a hash of id and text;
+    equal rows count once. max_train bounds the rows, max_langs the languages
+    (the most frequent ones). None if there is no such row with a letter."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), document_id_crc(id_col).alias("crc"))
     rows = rows.where("crc % 4 != 2 and lang is not null and text is not null")
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not langs:
         return None
     share = max(1, max_train // len(langs))
     chosen = F.create_map(*[x for r in langs for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.3 * (share + 4) / r["count"])))])
-    key = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    key = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
     sample = rows.withColumn("key", key).where(F.col("key") < chosen[F.col("lang")] * float(1 << 30)).select("key", "lang", "text")
-    got = sorted(((r["lang"], r["key"], bytes(r["counts"]), bytes(r["blocks"])) for r in sample.mapInArrow(_sample_counts, "key long, lang string, counts binary, blocks binary").collect()))
+    # A task gives each key once, so equal rows cannot pile up in the shuffle or here.
+    sample = sample.mapInArrow(_sample_counts, "key long, lang string, counts binary, blocks binary, letters double").dropDuplicates(["lang", "key"])
+    got = sorted(((r["lang"], r["key"], bytes(r["counts"]), bytes(r["blocks"]), r["letters"]) for r in sample.collect()))
     names = sorted({x[0] for x in got})
     taken = {x: 0 for x in names}
-    labels, counts, blocks = [], [], []
-    for lang, _, raw, used in got:
+    labels, counts, blocks, letters = [], [], [], []
+    for lang, _, raw, used, part in got:
         if taken[lang] < share:
             taken[lang] += 1
             labels.append(names.index(lang))
             counts.append(np.frombuffer(raw, np.uint16))
             blocks.append(np.frombuffer(used, np.uint16))
-    return fit(names, np.array(labels), np.stack(counts), blocks) if labels else None
+            letters.append(part)
+    return fit(names, np.array(labels), np.stack(counts), blocks, np.array(letters)) if labels else None
 
 
 def _judged(column, model: Model | None):

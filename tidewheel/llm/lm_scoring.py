@@ -10,10 +10,13 @@ frequent words form classes of about equal root mass with their own softmax;
 every other word falls into its tail class, within which add-one frequencies
 apply, so the whole vocabulary of any size has a proper probability.
 
-It is trained in numpy by truncated backpropagation: each task walks all its
-training documents in windows, carrying the state across windows, and tasks'
-parameters are averaged, in two rounds (an eighth of the documents, then the
-rest). Scoring carries the state through the complete document.
+It is trained in numpy by truncated backpropagation. Training documents are
+dealt by hash into shards of about SHARD_TOKENS tokens, so how the files are cut
+up does not matter; a shard is one task. In each of ROUNDS rounds a shard walks
+its share of its documents in windows, carrying the state across windows and the
+optimiser's moments across rounds, and parameters and moments are averaged over
+the shards, one array each, by a tree. Every training document is walked once.
+Scoring carries the state through the complete document.
 
 The frequencies of the HEAD most frequent words go to every task; the others
 are joined by hash. What is broadcast is bounded by HEAD and the model's size.
@@ -21,13 +24,15 @@ are joined by hash. What is broadcast is bounded by HEAD and the model's size.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import cut, document_id_crc
+from ._io import cut, document_id_crc, drop
 from ._text import Words, _LOWER, buffers, mix, row_blocks
 
 HIDDEN = 8
@@ -38,6 +43,9 @@ HEAD = 131_072
 WINDOW = 24
 SLOTS = 384
 TRAIN_SLOTS = 192
+SHARD_TOKENS = 2_000_000
+ROUNDS = 4
+FAN_IN = 32
 RATE = 0.02
 BIAS_RATE = 0.05
 DAMPING = 1e-4
@@ -291,10 +299,11 @@ def _run(model: Gru, texts, on_window, window: int = WINDOW, slots: int = SLOTS)
         h = states[-1][stay]
 
 
-def train_on(model: Gru, texts, rate: float = RATE) -> int:
-    """Adam steps over all windows of all texts; returns the number of tokens."""
-    seen, steps = 0, 0
-    speed, past = np.zeros_like(model.flat), np.zeros_like(model.flat)
+def train_on(model: Gru, texts, moments: np.ndarray | None = None, rate: float = RATE) -> int:
+    """Adam steps over all windows of all texts; returns the number of tokens.
+    moments (2, parameters) are the optimiser's, which go on from call to call."""
+    seen = 0
+    speed, past = np.zeros((2, len(model.flat)), np.float32) if moments is None else moments
     # Biases start at log frequencies, which are right already without context.
     rates, parts = np.full_like(model.flat, rate), {}
     model.views(rates, parts)
@@ -302,7 +311,7 @@ def train_on(model: Gru, texts, rate: float = RATE) -> int:
     parts["ob"] *= BIAS_RATE
 
     def step(keys, x, y, states, kept):
-        nonlocal seen, steps
+        nonlocal seen
         grads: dict = {}
         flat = np.zeros_like(model.flat)
         model.views(flat, grads)
@@ -313,7 +322,7 @@ def train_on(model: Gru, texts, rate: float = RATE) -> int:
         model.backward(x, kept, d_states, grads)
         n = int(mask.sum())
         flat /= max(n, 1, float(np.linalg.norm(flat)))  # mean gradient, of norm 1 at most
-        steps, seen = steps + 1, seen + n
+        seen += n
         full = n / (TRAIN_SLOTS * WINDOW)  # the last texts fill few slots: such windows count less
         speed[:] += 0.1 * full * (flat - speed)
         past[:] += 0.01 * full * (flat * flat - past)
@@ -347,35 +356,71 @@ def _texts(batches, lexicon: Lexicon, column: int):
             yield batch, lo, hi, tokens, first, row, count
 
 
-def _averaged(docs: DataFrame, model: Gru) -> Gru:
-    """Train a copy of the model in each task; average by tokens seen. The sums
-    are made by Spark; only one model's worth of rows comes back."""
-    lexicon, start = model.lex, model.flat.copy()
+def _row(weight: int, arrays: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([arrays.astype(np.float32).tobytes()], pa.binary())], names=["w", "v"])
 
-    def run(batches):
-        own = Gru(lexicon, flat=start.copy())
-        seen = train_on(own, ((0, row[first[i] : first[i + 1]]) for _, lo, hi, _, first, row, _ in _texts(batches, lexicon, 0) for i in range(hi - lo)))
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own.flat), dtype=np.int32)), pa.array(own.flat.astype(np.float64) * seen), pa.array(np.full(len(own.flat), seen, np.int64))], names=["i", "v", "w"])
 
-    sums = docs.select("text").mapInArrow(run, "i int, v double, w long").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v"))
-    flat = start.copy()
-    for r in sums.collect():
-        flat[r["i"]] = r["v"]
-    return Gru(lexicon, flat=flat)
+def _mean(rows) -> tuple[int, np.ndarray | None]:
+    """(sum of weights, weighted mean) of (weight, array bytes) rows."""
+    weight, total = 0, None
+    for w, v in rows:
+        part = w * np.frombuffer(v, np.float32).astype(np.float64)
+        weight, total = weight + w, part if total is None else total + part
+    return weight, total / weight if weight else None
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of
-    every row of `docs`.
+def _merged(batches):
+    weight, mean = _mean((w, v) for batch in batches for w, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    if weight:
+        yield _row(weight, mean)
 
-    Rows with crc32(doc_id) mod 7 other than 2 train counts and model (a null
-    id counts as 0). base_score: sum of log10((c + 1) / (N + V + 1)); score: the
-    model's log10 probability. A null or empty text is its end token. Repeated
-    rows each train and each get a score. Without any training row every count
-    is 0. Other columns are ignored."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (document_id_crc(id_col) % 7 == 2).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    training = rows.where("not held_out").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+
+def _round(docs: DataFrame, sent, arrays: np.ndarray, shards: int) -> np.ndarray:
+    """Train each shard of `docs` from the same parameters and moments (arrays,
+    in this order); their mean by tokens seen. Arrays of shards meet in tasks of
+    FAN_IN rows, until so few are left that the driver takes them."""
+    key = F.xxhash64("doc_id", "text")
+    rows = docs.select("doc_id", "text").repartition(shards, key).sortWithinPartitions(key).select("text")
+    start = docs.sparkSession.sparkContext.broadcast(arrays)
+
+    def run(batches):
+        lexicon, now = sent.value, start.value.copy()
+        own = Gru(lexicon, flat=now[0])
+        seen = train_on(own, ((0, row[first[i] : first[i + 1]]) for _, lo, hi, _, first, row, _ in _texts(batches, lexicon, 0) for i in range(hi - lo)), now[1:])
+        if seen:
+            yield _row(seen, np.concatenate([own.flat[None], now[1:]]))
+
+    found = cut(rows.mapInArrow(run, "w long, v binary"))
+    left, made = shards, [found]
+    while left > FAN_IN:
+        left = -(-left // FAN_IN)
+        made.append(cut(made[-1].repartition(left).mapInArrow(_merged, "w long, v binary")))
+    mean = _mean((r["w"], r["v"]) for r in made[-1].collect())[1]
+    drop(*made)
+    start.unpersist()
+    return arrays if mean is None else mean.astype(np.float32).reshape(arrays.shape)
+
+
+@dataclass
+class Fitted:
+    """Counts of training tokens, and the model. Tail words are those outside the
+    vocabulary: tail_n tokens and tail_v distinct ones in each tail class; counts
+    (h, c) below 2 ** (least / 16) are not in the lexicon."""
+
+    counts: DataFrame
+    total: int
+    distinct: int
+    least: int
+    lexicon: Lexicon
+    tail_n: np.ndarray
+    tail_v: np.ndarray
+    model: Gru
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fitted:
+    """Count and train on the rows whose crc32(doc_id) mod 7 is not 2."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), document_id_crc(id_col).alias("crc"))
+    training = rows.where("crc % 7 != 2").drop("crc")
     counts = cut(training.select("text").mapInArrow(_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
 
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -395,10 +440,31 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     model = Gru(lexicon, tail_counts=tail_n)
     if total:
-        model = _averaged(training.where("part = 0"), model)
-        model = _averaged(training.where("part <> 0"), model)
+        sent = docs.sparkSession.sparkContext.broadcast(lexicon)
+        arrays = np.stack([model.flat, np.zeros_like(model.flat), np.zeros_like(model.flat)])
+        part = F.pmod(F.xxhash64("text", "doc_id"), F.lit(ROUNDS))
+        for k in range(ROUNDS):
+            arrays = _round(training.where(part == k), sent, arrays, max(1, -(-total // SHARD_TOKENS)))
+        model = Gru(lexicon, flat=arrays[0])
+        sent.unpersist()
+    return Fitted(counts, total, distinct, least, lexicon, tail_n, tail_v, model)
+
+
+def score_documents(docs: DataFrame, fitted: Fitted | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of
+    every row of `docs`.
+
+    Rows with crc32(doc_id) mod 7 other than 2 train counts and model (a null
+    id counts as 0). base_score: sum of log10((c + 1) / (N + V + 1)); score: the
+    model's log10 probability. A null or empty text is its end token; a very long
+    one runs window by window beside others. Repeated rows each train and each
+    get a score. Without any training row every count is 0. Other columns are
+    ignored."""
+    fitted = fitted or fit(docs, id_col, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (document_id_crc(id_col) % 7 == 2).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    counts, total, distinct, least = fitted.counts, fitted.total, fitted.distinct, fitted.least
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((lexicon, model.flat, -np.log10(tail_n + tail_v + 1.0)))
+    sent = spark.sparkContext.broadcast((fitted.lexicon, fitted.model.flat, -np.log10(fitted.tail_n + fitted.tail_v + 1.0)))
 
     def run(batches):
         lex, flat, in_tail = sent.value

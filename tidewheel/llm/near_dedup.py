@@ -41,7 +41,7 @@ LEADERS = 4
 #: A block of the query set that _against holds against all hot classes.
 QUERY_BYTES = 16 << 20
 #: Ids that may be broadcast to pick texts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 PERCENT = 75
 #: A pair passes the estimate from this share of its union sketch on: five
 #: standard deviations of a 48-value sketch below 0.75.

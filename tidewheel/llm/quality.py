@@ -150,12 +150,11 @@ class LineField:
             if now < live:
                 ends[t] = best[now:live].argmax(1).astype(np.int8)
                 best, live = best[:now], now
-            if t < int(lens[0]) + 1 and live:
+            if live:
                 came = best[:, :, None] + self.moves[None]
                 back[at[:live] + t] = came.argmax(1)
                 best = came.max(1) + scores[at[:live] + t]
         state = np.zeros(len(lens), np.int8)
-        done = len(lens)
         for t in range(int(lens[0]), 0, -1):
             top = int(np.searchsorted(-lens, -t, "right"))
             if t in ends:
@@ -163,7 +162,6 @@ class LineField:
                 state[low:top] = ends[t]
             labels[at[:top] + t - 1] = state[:top]
             state[:top] = back[at[:top] + t - 1, state[:top]]
-        del done
         return labels
 
 
@@ -206,12 +204,12 @@ def fit(sequences: list[np.ndarray], labels: list[np.ndarray], rounds: int = 120
     return LineField(theta[: N_FEATURES * 2].reshape(N_FEATURES, 2).copy(), theta[N_FEATURES * 2 :].reshape(2, 2).copy())
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> LineField | None:
-    """Fit on at most `max_train` labelled documents (chosen by a hash of the id,
-    each of at most MAX_TRAIN_BYTES); None if labels are missing or all alike."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN, max_train_bytes: int = MAX_TRAIN_BYTES) -> LineField | None:
+    """Fit on at most `max_train` labelled documents, chosen by a hash of the id,
+    each of at most `max_train_bytes`; None if labels are missing or all alike."""
     some = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     some = some.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_train)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") <= MAX_TRAIN_BYTES)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") <= max_train_bytes)
     rows = rows.join(F.broadcast(some), "id").select("id", "label", "text")
 
     def run(batches):
