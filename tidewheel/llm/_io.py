@@ -18,7 +18,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     What the application wrote there goes when it ends."""
     sc = spark.sparkContext
     if sc.applicationId not in _BASES:
-        base = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="scratch-")
+        base = sc.getConf().get("spark.checkpoint.dir")
+        if not base and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = base or tempfile.mkdtemp(prefix="scratch-")
         _BASES[sc.applicationId] = f"{base}/tables-{uuid.uuid4().hex}"
         atexit.register(_delete, spark, _BASES[sc.applicationId])
     return f"{_BASES[sc.applicationId]}/{name}-{uuid.uuid4().hex}"

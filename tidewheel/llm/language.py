@@ -33,9 +33,9 @@ REJECT, LOW, LIKE = 0.6, 0.02, 20
 #: Scripts are told by blocks of 128 code points. A language uses those that a
 #: hundredth of its training texts have; a text with less than this share of its
 #: letters in them is rejected, and so is one whose letters in them are a smaller
-#: part of its characters than REJECT of the LOW quantile of training texts (than
-#: SCRIPT at most).
-SCRIPT, SCRIPTS = 0.5, 0x110000 >> 7
+#: part of its characters than REJECT of the LOW quantile of training texts, or
+#: than LETTERS where that is less.
+SCRIPT, LETTERS, SCRIPTS = 0.5, 0.25, 0x110000 >> 7
 BLOCK = 1 << 20
 
 _TABLES: dict[str, np.ndarray] = {}
@@ -149,7 +149,7 @@ def fit(langs: list[str], labels: np.ndarray, counts: np.ndarray, blocks: list[n
     for k in range(len(langs)):
         if not (labels == k).any():
             continue
-        shares[k] = min(SCRIPT, REJECT * np.quantile(letters[labels == k], LOW))
+        shares[k] = min(LETTERS, REJECT * np.quantile(letters[labels == k], LOW))
         own = _apart(x[labels == k], c[owner == k])
         for size in range(floors.shape[1]):
             away = abs(classes[labels == k] - size)

@@ -55,6 +55,6 @@ def drop_shared_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str =
     hits = _lines(rows).join(small_side(bad, SMALL), ["h1", "h2"]).groupBy("id", "print").agg(F.array_sort(F.collect_set("pos")).alias("bad"))
     full = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("print", F.xxhash64("text"))
     out = full.join(hits, ["id", "print"], "left").withColumn("lines", F.split("text", "\n"))
-    kept = F.when(F.col("bad").isNull(), F.col("text")).otherwise(F.expr("array_join(filter(lines, (x, i) -> not array_contains(bad, i)), '\n')"))
+    kept = F.when(F.col("bad").isNull(), F.col("text")).otherwise(F.expr("array_join(transform(array_except(sequence(0, size(lines) - 1), bad), i -> lines[i]), '\n')"))
     n_lines = F.coalesce(F.expr(r"size(filter(lines, x -> x rlike '[^\\x20\\x09-\\x0D]'))"), F.lit(0))
     return out.select("doc_id", F.when(F.col("text").isNull(), F.lit(0)).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce(F.size("bad"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("text"))

@@ -9,7 +9,7 @@ ends is sorted. DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,16 +41,14 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return rows.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("at") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, range_rows: int = RANGE_ROWS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken) of every row of `docs`.
+def _key(id_col: str, text_col: str) -> Column:
+    """A hash-random key of a row; only rows of one id and one text share it."""
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("binary"))
 
-    size: words of the text, 0 for null. taken: words the mix takes, epochs
-    counted; each source's sum is its target rounded down, so at most one row of
-    a source is taken in part. A null source is a source. Keys hash the id, so
-    reruns agree; rows with equal ids (or null ids) stand together, the shorter
-    first. An empty table gives no rows; a source without words has target 0."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_count(F.col(text_col).cast("string")).alias("size"), F.col(source_col).cast("string").alias("source"))
-    rows = cut(rows.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))))
+
+def _taken(docs: DataFrame, weights, share: float, max_epochs: int, range_rows: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_count(F.col(text_col).cast("string")).alias("size"), F.col(source_col).cast("string").alias("source"), _key(id_col, text_col).alias("key"))
+    rows = cut(rows)
     ranges = max(1, -(-rows.count() // range_rows))
     head = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("range", F.shiftright(head * ranges, 32).cast("int"))
@@ -71,23 +69,33 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     run = W.partitionBy("s", "r").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
     left = F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(run), F.lit(0).cast("long"))
     edge = out.where(inside).withColumn("part", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left)))
-    both = plain.unionByName(edge)
-    return both.select("doc_id", "size", "source", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+    return plain.unionByName(edge).withColumn("taken", F.col("epochs") * F.col("size") + F.col("part"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, range_rows: int = RANGE_ROWS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, size, source, source_size, target, taken) of every row of `docs`.
+
+    size: words of the text, 0 for null. taken: words the mix takes, epochs
+    counted; each source's sum is its target rounded down, so at most one row of
+    a source is taken in part. A null source is a source. Keys hash id and text,
+    so reruns agree, and rows of one id (or of none) are spread by their texts.
+    An empty table gives no rows; a source without words has target 0."""
+    return _taken(docs, weights, share, max_epochs, range_rows, id_col, text_col, source_col).select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", **how) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The documents of the mix, with all their columns: one row for each whole
     epoch of a document, and the first words of the one row at which a source's
-    budget ends. Rows without words are not taken. A repeated id must name equal
-    rows; of those, each row is taken on its own."""
-    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how).where("taken > 0")
-    taken = cut(taken.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken")))
-    rows, keys = docs, F.col(id_col).eqNullSafe(F.col("__id"))
-    if not taken.groupBy("__id").count().where("count > 1").isEmpty():
-        number = lambda frame, name, size: frame.withColumn("__n", F.row_number().over(W.partitionBy(name).orderBy(size)))
-        rows = number(docs, id_col, word_count(F.col(text_col)).desc())
-        taken = number(taken, "__id", F.desc("__size")).withColumnRenamed("__n", "__m")
+    budget ends. Rows without words are not taken. Each row is taken on its own,
+    also where ids repeat; rows equal in id, text and source are interchangeable."""
+    taken = _taken(docs, weights, share, max_epochs, range_rows, id_col, text_col, source_col)
+    taken = cut(taken.where("size > 0").select(F.col("key").alias("__key"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("taken").alias("__taken")))
+    rows, keys = docs.withColumn("__at", _key(id_col, text_col)), F.col("__at") == F.col("__key")
+    if not taken.groupBy("__key").count().where("count > 1").isEmpty():
+        number = lambda frame, key, name, to: frame.withColumn(to, F.row_number().over(W.partitionBy(key).orderBy(F.col(name).cast("string"))))
+        rows, taken = number(rows, "__at", source_col, "__n"), number(taken, "__key", "__source", "__m")
         keys = keys & (F.col("__n") == F.col("__m"))
+    taken = taken.where("__taken > 0")
     parts = F.expr("transform(sequence(1, cast(ceil(__taken / __size) as int)), i -> cast(least(__size, __taken - (i - 1) * __size) as int))")
     out = rows.join(taken.hint("shuffle_hash"), keys).withColumn("__words", F.explode(parts))
     text = F.when(F.col("__words") == F.col("__size"), F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("__words")))
