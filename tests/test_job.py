@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidewheel import Job, Tumbling, count, total
 from tidewheel.cli import build, main, parser
 from tidewheel.functions.text import upper_value
+from tidewheel.streaming import SavepointError
 from tidewheel.sources import console_sink, generator, late_script, scripted
 
 BASE = datetime(2026, 9, 24, 12)
@@ -64,8 +65,6 @@ def test_streams_refuse_what_they_cannot_do(spark):
     whole = Job().source(lambda s: None).map().key_by("key").sink(lambda b, i: None)
     with pytest.raises(ValueError, match="bounded"):
         whole.process_plan(lambda rows: rows).start(spark)
-    with pytest.raises(ValueError, match="two jobs"):
-        whole.process(lambda state, event: [], {}).window(Tumbling(1), count()).start(spark)
 
 
 def test_a_keyed_function_before_a_window(spark):
@@ -103,10 +102,30 @@ def test_cli(spark, capsys):
     assert "window[" in capsys.readouterr().out
 
 
-def test_cli_refuses_lateness_with_a_broker(spark):
-    with pytest.raises(ValueError, match="--broker"):
-        build(parser().parse_args(["--broker", "http://localhost:1", "--lateness", "1s"]))
-    assert build(parser().parse_args(["--broker", "http://localhost:1"]))._lateness == 0
+def test_cli_streams(spark, capsys, tmp_path):
+    """With a data folder, generated events come as a stream, with state kept."""
+    data = str(tmp_path / "data")
+    assert main(["--count", "12", "--interval", "1ms", "--window", "1s", "--data-dir", data, "--checkpoint", "50ms", "--http", ""]) == 0
+    lines = [x for x in capsys.readouterr().out.splitlines() if "window[" in x]
+    assert sum(int(x.rsplit(" ", 1)[1]) for x in lines) == 12 and (tmp_path / "data" / "checkpoint" / "commits").exists()
+    assert main(["--job", "dedup", "--count", "14", "--interval", "1ms", "--data-dir", str(tmp_path / "other"), "--http", ":0"]) == 0
+    assert len([x for x in capsys.readouterr().out.splitlines() if "value=EVENT-" in x]) == 12
+
+
+def test_cli_flags_that_need_one_another(spark):
+    with pytest.raises(ValueError, match="--data-dir"):
+        build(parser().parse_args(["--checkpoint", "1s"]))
+    with pytest.raises(SavepointError, match="data directory"):
+        main(["--resume", "sp", "--http", ""])
+    late = build(parser().parse_args(["--broker", "http://localhost:1", "--lateness", "1s"]))
+    assert late._lateness == 1_000_000 and late._side is not None and "ts" not in late._map
+
+
+def test_sources_of_two_arguments_get_the_capacity(spark):
+    asked = []
+    job = Job().source(lambda s, n: asked.append(n) or scripted(s, at(1))).map().key_by("key").channel_capacity(7).sink(lambda b, i: b.collect())
+    job.run(spark)
+    assert asked == [7]
 
 
 @pytest.mark.parametrize("settings", [{"lateness": "5s"}, {"side": console_sink()}])

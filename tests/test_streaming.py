@@ -10,10 +10,12 @@ from urllib.request import Request, urlopen
 import pytest
 
 from tidewheel import Job, Session, Tumbling, count
+from tidewheel.job import finish
 from tidewheel.model import EVENT
 from tidewheel.operators import Sliding
+from tidewheel.operators.aggregates import total
 from tidewheel.plans import windowed
-from tidewheel.sources import HttpLogSource, ScriptedSource, idempotent, scripted, write_script
+from tidewheel.sources import ClockedLogSource, HttpLogSource, ScriptedSource, idempotent, scripted, write_script
 from tidewheel.sources.scripted import ScriptedReader
 from tidewheel.streaming import SavepointError, Savepoints, Supervisor, batches, exact_windows, keyed_process, native_windows
 from tidewheel.streaming.native import configure
@@ -59,6 +61,7 @@ def bounded(spark, events):
 def formats(spark):
     spark.dataSource.register(ScriptedSource)
     spark.dataSource.register(HttpLogSource)
+    spark.dataSource.register(ClockedLogSource)
     configure(spark)
     spark.conf.set("spark.sql.shuffle.partitions", "2")
 
@@ -120,7 +123,7 @@ def test_savepoint_resumes_elsewhere(spark, tmp_path):
         points.trigger(query, "sp1")
     query.stop()
     with pytest.raises(SavepointError, match="parallelism"):
-        points.check_parallelism(7)
+        points.check(7)
     import shutil
 
     other = str(tmp_path / "other")
@@ -349,3 +352,134 @@ def test_supervisor_goes_on_after_a_savepoint(spark, tmp_path):
         server.stop()
         running.stop()
     running.wait()
+
+
+def test_an_idle_key_fires(spark, tmp_path):
+    """b's window is due when a's rows have moved the clock, without a row of b."""
+    path, got = write_script(str(tmp_path / "s"), [*at(1, key="b"), *at(2, 30, 31, 32)]), []
+    query = script_job(path, str(tmp_path / "out"), end="false", perBatch="1").sink(lambda b, i: got.extend(b.collect())).start(spark, exact=True)
+    wait(lambda: {r["key"] for r in got} == {"a", "b"})
+    query.stop()
+    assert sorted((r["key"], (r["ts"] - BASE).total_seconds(), r["value"][-1]) for r in got) == [("a", 10, "1"), ("b", 10, "1")]
+
+
+def test_a_function_and_a_window_in_one_stream(spark, tmp_path):
+    """Dedup before the window; late rows are those of the function's events."""
+    events = [("a", v, BASE + timedelta(seconds=x)) for v, x in (("p", 1), ("q", 3), ("p", 4), ("r", 25), ("s", 2), ("p", 26), ("t", 60))]
+
+    def distinct(state, event):
+        if not state["seen"].get(event["value"])[1]:
+            state["seen"].put(event["value"], True)
+            yield event | {"key": "renamed"}
+
+    states = {"seen": ("map", "value string", "flag boolean")}
+    path, got, late = write_script(str(tmp_path / "s"), events), [], []
+    job = script_job(path, str(tmp_path / "out"), perBatch="2").process(distinct, states).allowed_lateness(1).side_output(lambda b, i: late.extend(b.collect())).sink(lambda b, i: got.extend(b.collect()))
+    query = job.start(spark)
+    wait(lambda: len(got) >= 3)
+    query.stop()
+    mine = sorted((r["key"], r["value"], r["ts"]) for r in got)
+    want, missed = [], []
+    plain = Job().source(lambda s: scripted(s, events)).map().key_by("key").watermark_bound("2s").process(distinct, states).window(Tumbling(10), count()).allowed_lateness(1)
+    plain.side_output(lambda b, i: missed.extend(b.collect())).sink(lambda b, i: want.extend(b.collect())).run(spark)
+    assert mine == sorted((r["key"], r["value"], r["ts"]) for r in want) and [r["value"] for r in late] == [r["value"] for r in missed] == ["s"]
+
+
+def test_a_restore_keeps_the_kind_of_aggregate(spark, tmp_path):
+    path, data = write_script(str(tmp_path / "s"), crash(12)), str(tmp_path / "data")
+    job = script_job(path, str(tmp_path / "out"), end="false").checkpointing(data)
+    query = job.start(spark, exact=True)
+    query.processAllAvailable()
+    Savepoints(spark, data).trigger(query, "sp")
+    with pytest.raises(SavepointError, match="aggregate count"):
+        job.window(Tumbling(10), total()).start(spark, exact=True)
+    with pytest.raises(SavepointError, match="window"):
+        job.window(Tumbling(20), count()).start(spark, exact=True)
+    import shutil
+
+    shutil.copytree(f"{data}/savepoints", str(tmp_path / "other" / "savepoints"))
+    with pytest.raises(SavepointError, match="aggregate count"):
+        job.checkpointing(str(tmp_path / "other")).resume_from("sp").window(Tumbling(10), total()).start(spark, exact=True)
+
+
+def test_a_savepoint_while_records_keep_coming(spark, tmp_path):
+    """A source that never runs dry: the savepoint is taken between two batches."""
+    data = str(tmp_path / "data")
+    job = Job("endless").source(lambda s: s.readStream.format("rate-micro-batch").option("rowsPerBatch", 20).option("advanceMillisPerBatch", 1000).load().selectExpr("cast(value % 3 as string) as key", "'1' as value", "timestamp as ts", "value as seq"))
+    job = job.map().key_by("key").parallelism(2).process(running_count_function, COUNT_STATE).sink(lambda b, i: b.count()).checkpointing(data)
+    query = job.start(spark)
+    wait(lambda: len(batches(spark, f"{data}/checkpoint")) >= 2)
+    meta = Savepoints(spark, data).trigger(query, "busy")
+    saved = batches(spark, meta["path"])
+    assert not query.isActive and meta["id"] == saved[-1]
+    offsets = [int(p.name) for p in (tmp_path / "data" / "savepoints" / "busy" / "offsets").iterdir() if p.name.isdigit()]
+    assert max(offsets) == saved[-1]
+
+
+def test_what_an_exact_job_still_holds_can_be_fired(spark, tmp_path):
+    """A bounded source without end rows: the state's open windows at the end."""
+    events, data, got = crash(30), str(tmp_path / "data"), []
+    path = write_script(str(tmp_path / "s"), events)
+    job = script_job(path, str(tmp_path / "out"), end="false").checkpointing(data).sink(lambda b, i: got.extend(b.collect()))
+    query = job.start(spark, exact=True)
+    query.processAllAvailable()
+    query.stop()
+    assert len(got) < 9
+    finish(job, spark)
+    assert sorted((r["key"], r["value"], r["ts"]) for r in got) == bounded(spark, events)
+
+
+def test_late_rows_of_an_exact_job_are_counted(spark, tmp_path):
+    path, data = write_script(str(tmp_path / "s"), at(1, 12, 5, 20, 7, 30)), str(tmp_path / "data")
+    query = script_job(path, str(tmp_path / "out"), end="false").checkpointing(data).start(spark, exact=True)
+    query.processAllAvailable()
+    server = ControlServer("demo", lambda: query, Savepoints(spark, data), {"cells": True}, exact=True).start()
+    try:
+        seen = json.loads(urlopen(f"http://127.0.0.1:{server.port}/jobs/demo/watermarks").read())
+        assert seen["lateRecords"] == 2 and seen["watermark"].startswith("2026-09-26T12:00:27")
+    finally:
+        server.stop()
+        query.stop()
+
+
+def test_log_with_lateness(spark, tmp_path, broker):
+    """Exact clocks over the log: a re-fire and a late record, and a restart."""
+    for x in (1, 12, 5, 20, 7, 30):
+        broker.add("events", "a", "1", partition=0, seconds=x)
+    batches_got, batches_late, data = {}, {}, str(tmp_path / "data")
+    flat = lambda found: [r for _, rows in sorted(found.items()) for r in rows]
+    source = lambda s, n: s.readStream.format("httplog_clocked").options(broker=broker.url, topic="events", group="g", maxRecords=str(n), bound="2s").load()
+    job = Job("log").source(source).map().key_by("key").channel_capacity(2).parallelism(2).window(Tumbling(10), count()).allowed_lateness(5).checkpointing(data)
+    job = job.side_output(lambda b, i: batches_late.update({i: b.collect()})).sink(lambda b, i: batches_got.update({i: b.collect()}))
+    query = job.start(spark)
+    wait(lambda: len(flat(batches_got)) >= 3)
+    query.stop()
+    broker.fenced = True
+    for x in (60, 61):
+        broker.add("events", "b", "1", partition=1, seconds=x)
+    query = job.start(spark)
+    wait(lambda: len(flat(batches_got)) >= 5)
+    wait(lambda: broker.committed.get(1) == 1)
+    query.stop()
+    fired = sorted((r["key"], (r["ts"] - BASE).total_seconds(), r["value"][-1]) for r in flat(batches_got))
+    assert fired == [("a", 10, "1"), ("a", 10, "2"), ("a", 20, "1"), ("a", 30, "1"), ("a", 40, "1")]
+    assert [(r["ts"] - BASE).total_seconds() for r in flat(batches_late)] == [7] and broker.committed[0] == 5
+
+
+def test_members_beat_while_a_batch_runs(broker):
+    from tidewheel.sources.httplog import HttpLogReader
+
+    reader = HttpLogReader({"broker": broker.url, "topic": "t", "heartbeatSeconds": "0.05"})
+    broker.fenced = True
+    wait(lambda: reader.generation == 2 and not broker.fenced, 10)
+
+
+def test_a_million_keys(spark):
+    """1,000,000 keys once, 100 of them again: each has its own count."""
+    from tidewheel.plans import running_count
+
+    rows = spark.range(1_000_100).selectExpr("concat('key-', id % 1000000) as key", "'1' as value", "timestamp_ntz'2026-09-24 12:00:00' as ts", "id as seq")
+    found = running_count(rows)
+    assert found.where("seq >= 1000000").selectExpr("min(n)", "max(n)", "count(*)").first()[:] == (2, 2, 100)
+    last = found.groupBy("key").agg({"n": "max"}).toDF("key", "n")
+    assert last.groupBy("n").count().orderBy("n").collect() == [(1, 999_900), (2, 100)]

@@ -219,7 +219,7 @@ def _scratch(spark: SparkSession, name: str) -> str:
     import tempfile
 
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local["):
+    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     base = base or tempfile.mkdtemp(prefix="tidewheel-")
     return f"{base}/{name}-{uuid.uuid4().hex}"

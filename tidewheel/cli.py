@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import json
+import re
 import sys
+import time
 from dataclasses import replace
 
 from pyspark.sql import SparkSession
@@ -15,8 +18,8 @@ from .model import micros
 from .operators.aggregates import count
 from .operators.windows import Session, Sliding, Tumbling
 from .plans.process import dedup, running_count
-from .sources.generator import late_script
-from .sources.httplog import HttpLogSource, write_log
+from .sources.generator import GeneratedSource, late_script
+from .sources.httplog import ClockedLogSource, HttpLogSource, write_log
 from .sources.sinks import console_sink
 from .streaming.checkpoint import Savepoints
 from .streaming.observe import ControlServer
@@ -35,8 +38,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--window", default="5s", help="window size")
     p.add_argument("--slide", default="0s", help="0: tumbling")
     p.add_argument("--session", default="0s", help="session gap; goes before window and slide")
-    p.add_argument("--lateness", default="0s", help="allowed lateness; late rows are printed (generated events only, refused with --broker)")
-    p.add_argument("--http", default=":9081", help="address of the control server, empty for none")
+    p.add_argument("--lateness", default="0s", help="allowed lateness; late rows are printed")
+    p.add_argument("--http", default=":9081", help="address of the control server; empty: none, and generated events without a data folder run as bounded rows")
     p.add_argument("--data-dir", default="", help="state folder (empty: no checkpoints)")
     p.add_argument("--checkpoint", default="0s", help="checkpoint interval")
     p.add_argument("--resume", default="", help="savepoint to resume from")
@@ -48,26 +51,55 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def streams(args: argparse.Namespace) -> bool:
+    """Whether the job runs as a stream: over the log, or with anything that only
+    a running job has. Otherwise generated events are bounded rows."""
+    return bool(args.broker or args.data_dir or args.resume or args.http)
+
+
+def _log_source(args: argparse.Namespace, exact: bool):
+    def read(spark, capacity):
+        options = {"broker": args.broker, "topic": args.topic, "group": args.group, "member": args.member, "maxRecords": str(capacity * 25)}
+        if exact:
+            return spark.readStream.format("httplog_clocked").options(bound=args.watermark_bound, prefix="true", **options).load()
+        return spark.readStream.format("httplog").options(**options).load().withColumn("seq", F.col("offset"))
+
+    return read
+
+
+def _generated_source(args: argparse.Namespace):
+    def read(spark, capacity):
+        if not streams(args):
+            return late_script(spark, args.count, args.interval, repeats=args.job == "dedup")
+        options = {"count": str(args.count), "interval": args.interval, "bound": args.watermark_bound, "perBatch": str(capacity), "repeats": str(args.job == "dedup")}
+        return spark.readStream.format("generated").options(**options).load().withColumn("ts", F.timestamp_micros("us").cast("timestamp_ntz"))
+
+    return read
+
+
 def build(args: argparse.Namespace) -> Job:
     """The job of parsed arguments."""
-    if args.broker and micros(args.lateness) > 0:
-        raise ValueError("--lateness needs a clock for each record, which the log broker's stream does not have; it cannot go with --broker")
+    if micros(args.checkpoint) > 0 and not args.data_dir:
+        raise ValueError("--checkpoint needs --data-dir")
+    stream, windowed = streams(args), args.job not in ("dedup", "running-count")
+    exact = stream and windowed and (not args.broker or micros(args.lateness) > 0)
     value, ts = F.col("value"), F.col("ts")
-    job = Job(args.job).map(ts=event_time(value, ts.cast("timestamp_ntz")), value=upper_value(payload(value))).key_by("key")
-    job = job.parallelism(args.parallelism).channel_capacity(args.buffer).watermark_bound(args.watermark_bound).sink(console_sink())
+    job = Job(args.job)
+    # The clocked sources have read the time in front of a value already.
+    job = job.map(value=upper_value(payload(value))) if exact else job.map(ts=event_time(value, ts.cast("timestamp_ntz")), value=upper_value(payload(value)))
+    job = job.key_by("key").parallelism(args.parallelism).channel_capacity(args.buffer).watermark_bound(args.watermark_bound).sink(console_sink())
     if args.broker:
-        options = {"broker": args.broker, "topic": args.topic, "group": args.group, "member": args.member, "maxRecords": str(args.buffer * 25)}
-        job = job.source(lambda s: s.readStream.format("httplog").options(**options).load().withColumn("seq", F.col("offset"))).sink(lambda b, _: write_log(b, args.broker, args.out_topic))
+        job = job.source(_log_source(args, exact)).sink(lambda b, _: write_log(b, args.broker, args.out_topic))
     else:
-        job = job.source(lambda s: late_script(s, args.count, args.interval, repeats=args.job == "dedup"))
+        job = job.source(_generated_source(args))
     if args.data_dir:
         job = job.checkpointing(args.data_dir, args.checkpoint)
     if args.resume:
         job = job.resume_from(args.resume)
     if args.job == "dedup":
-        return job.process(dedup_function, DEDUP_STATE) if args.broker else job.process_plan(dedup)
+        return job.process(dedup_function, DEDUP_STATE) if stream else job.process_plan(dedup)
     if args.job == "running-count":
-        return job.process(running_count_function, COUNT_STATE) if args.broker else job.process_plan(lambda rows: running_count(rows).drop("n"))
+        return job.process(running_count_function, COUNT_STATE) if stream else job.process_plan(lambda rows: running_count(rows).drop("n"))
     if micros(args.session) > 0:
         assigner = Session(args.session)
     elif micros(args.slide) > 0:
@@ -80,24 +112,41 @@ def build(args: argparse.Namespace) -> Job:
     return job
 
 
+def _ended(query, count: int) -> bool:
+    """Whether a generated stream has read all its events and its end rows."""
+    last = query.lastProgress
+    last = last if last is None or isinstance(last, dict) else json.loads(last.json)
+    found = [re.search(r"next\W+(\d+)", str(s.get("endOffset"))) for s in (last or {}).get("sources", [])]
+    return any(m and int(m[1]) > count for m in found)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("tidewheel").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     job = build(args)
-    if not args.broker:
+    if not streams(args):
         job.run(spark)
         return 0
-    spark.dataSource.register(HttpLogSource)
+    for source in (HttpLogSource, ClockedLogSource, GeneratedSource):
+        spark.dataSource.register(source)
+    exact = job._assigner is not None and (not args.broker or job._lateness > 0)
     points = Savepoints(spark, args.data_dir or None)
-    running = Supervisor(lambda first: (job if first else replace(job, _resume=None)).start(spark, exact=False), points)
+    running = Supervisor(lambda first: (job if first else replace(job, _resume=None)).start(spark, exact=exact), points)
     server = None
     if args.http:
-        server = ControlServer(job.name, lambda: running.query, points, port=int(args.http.rpartition(":")[2] or 0), savepoint=running.savepoint).start()
+        states = {"dedup": {"seen": True}, "running-count": {"count": False}}.get(args.job, {"cells": True} if exact else {})
+        server = ControlServer(job.name, lambda: running.query, points, states, exact, port=int(args.http.rpartition(":")[2] or 0), savepoint=running.savepoint).start()
     try:
-        running.wait()
+        if args.broker:
+            running.wait()
+        while not args.broker and not _ended(running.query, args.count):
+            if running.query.exception() is not None:
+                running.wait()
+            time.sleep(0.1)
     except KeyboardInterrupt:
-        running.stop()
+        pass
     finally:
+        running.stop()
         if server is not None:
             server.stop()
     return 0

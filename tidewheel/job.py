@@ -6,6 +6,7 @@ exact per-record clocks (`start`)."""
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import timedelta
@@ -22,7 +23,7 @@ from .operators.windows import Assigner
 from .plans.bounded import windowed
 from .sources.sinks import BatchSink, split_late
 from .streaming.checkpoint import SavepointError, Savepoints
-from .streaming.exact import exact_windows
+from .streaming.exact import exact_windows, pending
 from .streaming.native import configure, native_windows
 from .streaming.process import ProcessFunction, keyed_process
 
@@ -36,7 +37,7 @@ def _column(x: Expression) -> Column:
 @dataclass(frozen=True)
 class Job:
     name: str = "job"
-    _source: Callable[[SparkSession], DataFrame] | None = None
+    _source: Callable[..., DataFrame] | None = None
     _map: dict | None = None
     _key: Expression | None = None
     _filters: tuple = ()
@@ -57,10 +58,11 @@ class Job:
     def named(self, name: str) -> Job:
         return replace(self, name=name)
 
-    def source(self, source: Callable[[SparkSession], DataFrame]) -> Job:
+    def source(self, source: Callable[..., DataFrame]) -> Job:
         """A function of the session that gives rows of key, value, ts and seq
         (a stream for `start`; the exact tier wants us and clock_us, as format
-        `scripted` gives, in place of ts)."""
+        `scripted` gives, in place of ts). A function of two arguments gets the
+        channel capacity as well."""
         return replace(self, _source=source)
 
     def map(self, **columns: Expression) -> Job:
@@ -101,7 +103,8 @@ class Job:
         return replace(self, _parallelism=n) if n > 0 else self
 
     def channel_capacity(self, n: int) -> Job:
-        """Files or records that a micro-batch takes at most."""
+        """Records (or files) that a micro-batch takes at most: what a source of
+        two arguments gets as its second."""
         return replace(self, _capacity=n) if n > 0 else self
 
     def watermark_bound(self, bound: timedelta | int | float | str) -> Job:
@@ -126,6 +129,10 @@ class Job:
 
     # --- bounded ---------------------------------------------------------
 
+    def _read(self, spark: SparkSession) -> DataFrame:
+        takes = len(inspect.signature(self._source).parameters)
+        return self._source(spark, self._capacity) if takes > 1 else self._source(spark)
+
     def _mapped(self, rows: DataFrame) -> DataFrame:
         rows = rows.withColumns({name: _column(x) for name, x in (self._map or {}).items()})
         return rows.withColumn("event_key", F.col("key")).withColumn("key", _column(self._key).cast("string"))
@@ -134,7 +141,7 @@ class Job:
         """The job over bounded rows. Without a window: key, value, ts, seq. With
         one: what plans.windowed gives, and `text`, the result as text."""
         self.validate()
-        rows = with_clock(self._mapped(self._source(spark)), timedelta(microseconds=self._bound)) if self._assigner else self._mapped(self._source(spark))
+        rows = with_clock(self._mapped(self._read(spark)), timedelta(microseconds=self._bound)) if self._assigner else self._mapped(self._read(spark))
         for condition in self._filters:
             rows = rows.where(_column(condition))
         if self._plan is not None:
@@ -165,20 +172,18 @@ class Job:
 
     def start(self, spark: SparkSession, exact: bool | None = None) -> StreamingQuery:
         """Start over a stream. exact: per-record clocks (default: if lateness or
-        a side output is set); the source must then give us and clock_us, and map
-        must not set ts."""
+        a side output is set; always for a keyed function before a window); the
+        source must then give us and clock_us, and map must not set ts."""
         self.validate()
         exact = bool(self._lateness or self._side) if exact is None else exact
         if self._plan is not None:
             raise ValueError("a set-based plan takes bounded rows; a stream takes a keyed function")
-        if self._process is not None and self._assigner is not None:
-            raise ValueError("a stream takes a keyed function or a window; run both over bounded rows, or as two jobs")
-        exact = exact and self._assigner is not None
+        exact = (exact or self._process is not None) and self._assigner is not None
         if exact and "ts" in (self._map or {}):
             raise ValueError("an exact stream takes times and clocks from its source (us, clock_us); map cannot set ts")
         configure(spark)
         spark.conf.set("spark.sql.shuffle.partitions", str(self._parallelism))
-        rows = self._source(spark)
+        rows = self._read(spark)
         if exact:
             rows = rows.withColumn("ts", F.timestamp_micros("us")) if "ts" not in rows.columns else rows
             rows = rows.withColumns({name: _column(x) for name, x in (self._map or {}).items()}).withColumn("key", _column(self._key).cast("string"))
@@ -186,13 +191,13 @@ class Job:
             rows = self._mapped(rows)
         for condition in self._filters:
             rows = rows.where(_column(condition) | (F.col("seq") < 0) if exact else _column(condition))
-        if self._process is not None:
+        if self._process is not None and not exact:
             rows = keyed_process(rows, *self._process).select("key", "value", "ts", "seq")
         mode, sink = "append", self._sink
         if self._assigner is not None and exact:
             if "us" not in rows.columns:
                 rows = rows.withColumn("us", epoch_us("ts"))
-            rows = self._texts(exact_windows(rows.select("key", "value", "us", "seq", "clock_us"), self._assigner, self._aggregate, timedelta(microseconds=self._lateness)))
+            rows = self._texts(exact_windows(rows.select("key", "value", "us", "seq", "clock_us"), self._assigner, self._aggregate, timedelta(microseconds=self._lateness), self._process, timedelta(microseconds=self._bound)))
             mode, sink = "update", split_late(lambda b, i: self._sink(as_events(b), i), self._side)
         elif self._assigner is not None:
             found = native_windows(rows, self._assigner, self._aggregate, timedelta(microseconds=self._bound)).withColumn("kind", F.lit("fire"))
@@ -204,7 +209,8 @@ class Job:
             points = Savepoints(spark, self._data_dir)
             if self._resume:
                 points.resume(self._resume)
-            points.check_parallelism(self._parallelism)
+            window = f"{self._assigner}" if self._assigner is not None else None
+            points.check(self._parallelism, aggregate=self._aggregate.name if self._aggregate else None, window=window, exact=str(exact))
             writer = writer.option("checkpointLocation", points.checkpoint)
         elif self._resume:
             raise SavepointError("no data directory is set")
@@ -213,6 +219,13 @@ class Job:
         return writer.start()
 
 
+def finish(job: Job, spark: SparkSession) -> None:
+    """After an exact job's bounded source has ended and its query has stopped:
+    fire into the sink what the state still holds, as if an end row had come."""
+    points = Savepoints(spark, job._data_dir)
+    job._sink(as_events(job._texts(pending(spark, points.checkpoint, job._aggregate))), -1)
+
+
 def as_events(results: DataFrame) -> DataFrame:
     """Window results as events: value is the text, ts the window's end."""
     return results.select("key", F.col("text").alias("value"), F.col("window_end").alias("ts"))

@@ -11,6 +11,7 @@ from .aggregates import Aggregate
 from .windows import Assigner, Session, merges
 
 Window = tuple[int, int]
+_NEVER = 2**63
 
 
 class PaneFold:
@@ -19,20 +20,30 @@ class PaneFold:
     def __init__(self, assigner: Assigner, aggregate: Aggregate, lateness_us: int = 0, cells: dict[Window, list] | None = None):
         self.assigner, self.aggregate, self.lateness = assigner, aggregate, max(0, lateness_us)
         self.cells: dict[Window, list] = cells or {}
+        self._due = self._next()
+
+    def due(self) -> int | None:
+        """When the clock next changes something: a window fires, or goes."""
+        self._due = self._next()
+        return None if self._due == _NEVER else self._due
+
+    def _next(self) -> int:
+        return min((w[1] + self.lateness if c[1] else w[1] for w, c in self.cells.items()), default=_NEVER)
 
     def advance(self, clock: int | None) -> Iterator[tuple]:
         """Fire windows whose end the clock has reached, then drop those whose
-        lateness it has passed. Yields ("fire", start, end, state, firing)."""
-        if clock is None:
+        lateness it has passed. Yields ("fire", start, end, state, firing). What
+        is due next is remembered, so most rows look at no window here."""
+        if clock is None or clock < self._due:
             return
-        for w in sorted(self.cells):
+        for w in sorted(w for w, cell in self.cells.items() if w[1] <= clock and not cell[1]):
             cell = self.cells[w]
-            if w[1] <= clock and not cell[1]:
-                cell[1] = True
-                yield ("fire", *w, cell[0], cell[2])
-                cell[2] += 1
+            cell[1] = True
+            yield ("fire", *w, cell[0], cell[2])
+            cell[2] += 1
         for w in [w for w in self.cells if w[1] + self.lateness <= clock]:
             del self.cells[w]
+        self._due = self._next()
 
     def add(self, ts: int, value, clock: int | None) -> Iterator[tuple]:
         """One row. Yields fires as advance does, and ("late", start, end, None,
@@ -55,6 +66,7 @@ class PaneFold:
                     yield ("late", *w, None, None)
                     continue
                 cell = self.cells.setdefault(w, [None, False, 1])
+                self._due = min(self._due, w[1] + self.lateness)
                 cell[0] = self.aggregate.add(cell[0], value)
                 cell[1] = True
                 cell[2] = max(cell[2], 1)
@@ -62,6 +74,7 @@ class PaneFold:
                 cell[2] += 1
                 continue
             cell = self.cells.setdefault(w, [None, False, 0])
+            self._due = min(self._due, w[1])
             cell[0] = self.aggregate.add(cell[0], value)
 
     def _merged(self, w: Window) -> Window:

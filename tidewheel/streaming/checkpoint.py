@@ -7,6 +7,9 @@ folders may be in any store Spark can write."""
 
 from __future__ import annotations
 
+import json
+import time
+
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,6 +23,7 @@ class _Files:
         jvm = spark.sparkContext._jvm
         self.conf = spark.sparkContext._jsc.hadoopConfiguration()
         self.make, self.util = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.hadoop.fs.FileUtil
+        self.io = jvm.org.apache.commons.io.IOUtils
         self.fs = self.make(path).getFileSystem(self.conf)
 
     def exists(self, path: str) -> bool:
@@ -28,13 +32,32 @@ class _Files:
     def names(self, path: str) -> list[str]:
         return [s.getPath().getName() for s in self.fs.listStatus(self.make(path))] if self.exists(path) else []
 
-    def copy(self, source: str, to: str) -> None:
+    def read(self, path: str) -> str:
+        stream = self.fs.open(self.make(path))
+        try:
+            return self.io.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, path: str, text: str) -> None:
+        stream = self.fs.create(self.make(path), True)
+        try:
+            stream.write(bytearray(text, "utf-8"))
+        finally:
+            stream.close()
+
+    def delete(self, path: str) -> None:
+        self.fs.delete(self.make(path), True)
+
+    def copy(self, source: str, to: str, without: tuple[str, ...] = ()) -> None:
         """Copy to a temporary name, then rename: a half copy is never taken for
-        a whole one."""
+        a whole one. without: paths below `source` to leave out."""
         part = f"{to}._copying"
         self.fs.delete(self.make(part), True)
         self.fs.mkdirs(self.make(part).getParent())
         self.util.copy(self.fs, self.make(source), self.fs, self.make(part), False, self.conf)
+        for name in without:
+            self.delete(f"{part}/{name}")
         if not self.fs.rename(self.make(part), self.make(to)):
             raise SavepointError(f"cannot publish {to}")
 
@@ -65,19 +88,25 @@ class Savepoints:
         return f"{self.data_dir}/savepoints/{name}"
 
     def trigger(self, query: StreamingQuery | None, name: str) -> dict:
-        """Drain the query to a batch boundary, stop it there and copy its
-        checkpoint. The caller starts the job again to go on. An existing name is
-        an error."""
+        """Stop the query after its next commit, or at once if it has nothing to
+        do, and copy its checkpoint; records may keep coming. A batch that had
+        begun meanwhile is not part of the copy. The caller starts the job again
+        to go on. An existing name is an error."""
         path = self._path(name)
         if query is None or not query.isActive:
             raise SavepointError("the job is not running")
         files = _Files(self.spark, self.data_dir)
         if files.exists(path):
             raise SavepointError(f"savepoint {name} exists")
-        query.processAllAvailable()
+        before = batches(self.spark, self.checkpoint)[-1:]
+        while query.isActive and batches(self.spark, self.checkpoint)[-1:] == before and not query.status["message"].startswith("Waiting"):
+            time.sleep(0.02)
         query.stop()
+        if (error := query.exception()) is not None:
+            raise SavepointError(f"the job failed: {error}")
         done = batches(self.spark, self.checkpoint)
-        files.copy(self.checkpoint, path)
+        begun = [n for n in files.names(f"{self.checkpoint}/offsets") if n.isdigit() and int(n) > (done[-1] if done else -1)]
+        files.copy(self.checkpoint, path, tuple(x for n in begun for x in (f"offsets/{n}", f"offsets/.{n}.crc")))
         return {"name": name, "id": done[-1] if done else None, "path": path, "status": "completed"}
 
     def names(self) -> list[str]:
@@ -95,10 +124,18 @@ class Savepoints:
         files.copy(path, self.checkpoint)
         return self.checkpoint
 
-    def check_parallelism(self, wanted: int) -> None:
-        """State is laid out by partition count: a restore keeps it or fails."""
+    def check(self, parallelism: int, **job: str | None) -> None:
+        """State is laid out by partition count and holds one job's kind of
+        values: a restore keeps both or fails. The kind stands beside the state."""
         files = _Files(self.spark, self.data_dir)
-        state = f"{self.checkpoint}/state/0"
-        found = len([n for n in files.names(state) if n.isdigit()])
-        if found and found != wanted:
-            raise SavepointError(f"checkpoint has parallelism {found}, job has {wanted}")
+        found = len([n for n in files.names(f"{self.checkpoint}/state/0") if n.isdigit()])
+        if found and found != parallelism:
+            raise SavepointError(f"checkpoint has parallelism {found}, job has {parallelism}")
+        kind = f"{self.checkpoint}/job.json"
+        if files.exists(kind):
+            was = json.loads(files.read(kind))
+            for what, value in job.items():
+                if was.get(what) != value:
+                    raise SavepointError(f"checkpoint has {what} {was.get(what)}, job has {value}")
+        else:
+            files.write(kind, json.dumps(job))

@@ -30,6 +30,11 @@ def watermarks(query: StreamingQuery) -> dict:
     return {"watermark": (seen[-1].get("eventTime") or {}).get("watermark"), "lateRecords": late, "pendingRows": sum(o.get("numRowsTotal", 0) for o in seen[-1].get("stateOperators", []))}
 
 
+def late_records(spark: SparkSession, checkpoint: str) -> int:
+    """Late rows that an exact job has seen, from its state."""
+    return spark.read.format("statestore").option("stateVarName", "late").load(checkpoint).agg(F.coalesce(F.sum("value.n"), F.lit(0))).first()[0]
+
+
 def state_counts(spark: SparkSession, checkpoint: str, names: dict[str, bool]) -> dict[str, int]:
     """Keys that hold each state variable, read from the checkpoint. `names`
     says for each variable whether it is a map."""
@@ -78,11 +83,13 @@ def skipped_late(frame: DataFrame) -> DataFrame:
 
 class ControlServer:
     """The HTTP surface of one job. savepoint: what a POST does (default: stop the
-    query and copy its checkpoint; a Supervisor's also starts it again)."""
+    query and copy its checkpoint; a Supervisor's also starts it again). states:
+    the state variables to count, and whether each is a map. exact: an exact job,
+    which keeps its late rows' number in state."""
 
-    def __init__(self, name: str, query: Callable[[], StreamingQuery | None], savepoints: Savepoints, states: dict[str, bool] | None = None, port: int = 0, savepoint: Callable[[str], dict] | None = None):
+    def __init__(self, name: str, query: Callable[[], StreamingQuery | None], savepoints: Savepoints, states: dict[str, bool] | None = None, exact: bool = False, port: int = 0, savepoint: Callable[[str], dict] | None = None):
         self.savepoint = savepoint or (lambda name: savepoints.trigger(query(), name))
-        self.name, self.query, self.savepoints, self.states = name, query, savepoints, states or {}
+        self.name, self.query, self.savepoints, self.states, self.exact = name, query, savepoints, states or {}, exact
         self.rates: Throughput | None = None
         server = self
 
@@ -123,7 +130,10 @@ class ControlServer:
         if path == "/healthz":
             return (200, "ok") if query is not None and query.isActive else (503, "stopped")
         if path == f"/jobs/{self.name}/watermarks":
-            return 200, watermarks(query) if query is not None else {}
+            body = watermarks(query) if query is not None else {}
+            if body and self.exact and batches(self.savepoints.spark, self.savepoints.checkpoint):
+                body["lateRecords"] = late_records(self.savepoints.spark, self.savepoints.checkpoint)
+            return 200, body
         if path == f"/jobs/{self.name}/state":
             return 200, state_counts(self.savepoints.spark, self.savepoints.checkpoint, self.states)
         if path == "/checkpoints":
