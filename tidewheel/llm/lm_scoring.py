@@ -35,17 +35,20 @@ from pyspark.sql import functions as F
 from ._io import cut, document_id_crc, drop
 from ._text import Words, _LOWER, buffers, mix, row_blocks
 
-HIDDEN = 8
-VOCAB = 512
-CLASSES = 16
+HIDDEN = 12
+VOCAB = 1024
+CLASSES = 24
 TAIL_CLASSES = 32
 HEAD = 131_072
 WINDOW = 24
 SLOTS = 384
+STRETCH = 16
+TRAIN_STRETCH = 4
 TRAIN_SLOTS = 192
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 6_000_000
 ROUNDS = 4
 FAN_IN = 32
+LONG_LOG2 = 13
 RATE = 0.02
 BIAS_RATE = 0.05
 DAMPING = 1e-4
@@ -251,10 +254,11 @@ class Gru:
         grads["x"][rows[order][head]] += np.add.reduceat(d_in.reshape(-1, 3 * k)[order], head, axis=0)
 
 
-def _windows(texts, start_row: int, window: int, slots: int):
+def _windows(texts, start_row: int, base: int, slots: int, stretch: int = 1):
     """Walk many texts side by side. Yields (inputs, targets with -1 past an end,
     slots that start a text, slots that end one, their keys) per window; a free
-    slot takes the next text, so long texts run beside short ones."""
+    slot takes the next text, so long texts run beside short ones. Where only a
+    few long ones are left, windows are `stretch` times as long."""
     texts = iter(texts)
     live: list[list] = []  # [key, rows, place, fresh]
     more = True
@@ -267,6 +271,7 @@ def _windows(texts, start_row: int, window: int, slots: int):
                 live.append([nxt[0], nxt[1], 0, True])
         if not live:
             return
+        window = base * stretch if not more and len(live) * stretch <= slots else base
         x = np.zeros((window, len(live)), np.int64)
         y = np.full((window, len(live)), -1, np.int64)
         for j, (_, rows, at, fresh) in enumerate(live):
@@ -286,10 +291,10 @@ def _windows(texts, start_row: int, window: int, slots: int):
         live = [s for _, s in rest]
 
 
-def _run(model: Gru, texts, on_window, window: int = WINDOW, slots: int = SLOTS):
+def _run(model: Gru, texts, on_window, window: int = WINDOW, slots: int = SLOTS, stretch: int = 1):
     """Drive windows with carried states; on_window gets (keys, x, y, states before
     each target, kept)."""
-    walk = _windows(texts, model.lex.n_vocab + TAIL_CLASSES, window, slots)
+    walk = _windows(texts, model.lex.n_vocab + TAIL_CLASSES, window, slots, stretch)
     h = np.zeros((0, model.hidden), np.float32)
     for x, y, fresh, keys in walk:
         h = np.concatenate([h, np.zeros((len(fresh) - len(h), model.hidden), np.float32)])
@@ -328,7 +333,7 @@ def train_on(model: Gru, texts, moments: np.ndarray | None = None, rate: float =
         past[:] += 0.01 * full * (flat * flat - past)
         model.flat += full * rates * speed / (np.sqrt(past) + DAMPING)
 
-    _run(model, texts, step, slots=TRAIN_SLOTS)
+    _run(model, texts, step, slots=TRAIN_SLOTS, stretch=TRAIN_STRETCH)
     return seen
 
 
@@ -343,7 +348,7 @@ def score_on(model: Gru, texts) -> dict:
         for key, s in zip(keys, lp.sum(0).tolist(), strict=True):
             out[key] = out.get(key, 0.0) + s
 
-    _run(model, texts, step)
+    _run(model, texts, step, stretch=STRETCH)
     return out
 
 
@@ -380,7 +385,9 @@ def _round(docs: DataFrame, sent, arrays: np.ndarray, shards: int) -> np.ndarray
     in this order); their mean by tokens seen. Arrays of shards meet in tasks of
     FAN_IN rows, until so few are left that the driver takes them."""
     key = F.xxhash64("doc_id", "text")
-    rows = docs.select("doc_id", "text").repartition(shards, key).sortWithinPartitions(key).select("text")
+    # Very long texts begin first, so that none of them is left to run alone.
+    size = F.greatest(F.floor(F.log2(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)), F.lit(LONG_LOG2))
+    rows = docs.select("doc_id", "text").repartition(shards, key).sortWithinPartitions(size.desc(), key).select("text")
     start = docs.sparkSession.sparkContext.broadcast(arrays)
 
     def run(batches):
@@ -499,7 +506,7 @@ def score_documents(docs: DataFrame, fitted: Fitted | None = None, id_col: str =
                 names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "model", "rare", "times"],
             )
 
-        walk = _windows(texts(), lex.n_vocab + TAIL_CLASSES, WINDOW, SLOTS)
+        walk = _windows(texts(), lex.n_vocab + TAIL_CLASSES, WINDOW, SLOTS, STRETCH)
         h = np.zeros((0, gru.hidden), np.float32)
         ended: list = []
         for x, y, fresh, keys in walk:
