@@ -181,3 +181,35 @@ def test_one_day_by_the_second(spark):
 def test_last_values_of_a_hot_key(spark):
     frame = spark.range(5_000).select(F.lit("k").alias("key"), F.col("id").cast("string").alias("value"), F.lit(BASE).cast("timestamp_ntz").alias("ts"), F.col("id").alias("seq"))
     assert list_state(frame, 3).first()["values"] == ["4997", "4998", "4999"]
+
+
+def test_sessions_run_over_stretches(spark, monkeypatch):
+    """One key, whose sessions cross the stretches its rows are ordered in."""
+    from tidewheel.plans import bounded
+
+    monkeypatch.setattr(bounded, "STRETCH_GAPS", 2)
+    rng = random.Random(5)
+    places = sorted(rng.sample(range(4000), 900))
+    some = rows(spark, places)
+    nameless = windowed(some.withColumn("key", F.lit(None).cast("string")), Session(6), count(), 0)
+    got = windowed(some, Session(6), count(), 0).collect()
+    assert nameless.where("kind = 'fire'").count() == sum(r["kind"] == "fire" for r in got)
+    want, first, last, n = [], places[0], places[0], 0
+    for x in [*places, 10**6]:
+        if x - last > 6:
+            want.append((first, last + 6, n))
+            first, n = x, 0
+        last, n = x, n + 1
+    assert sorted((seconds(r["window_start"]), seconds(r["window_end"]), r["result"]) for r in got if r["kind"] == "fire") == want
+
+
+def test_running_counts_go_on_over_slices(spark, monkeypatch):
+    from tidewheel.plans import process
+
+    monkeypatch.setattr(process, "SLICE", 7)
+    data = [("k" if i % 3 else None, "v", BASE, i if i else None) for i in range(50)]
+    got = {r["seq"]: r["n"] for r in running_count(spark.createDataFrame(data, EVENT)).collect()}
+    seen = {}
+    for k, _, _, i in data:
+        seen[k] = seen.get(k, 0) + 1
+        assert got[i] == seen[k]

@@ -226,8 +226,9 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 
 def _drain(spark: SparkSession, frame: DataFrame, mode: str, checkpoint: str, sink) -> None:
-    """Run a stream until its input is read. State settings hold for this run."""
-    names = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.shuffle.partitions": "8"}
+    """Run a stream until its input is read; end rows have fired all windows by
+    then, so no batch without data follows. State settings hold for this run."""
+    names = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.shuffle.partitions": "8", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
     old = {k: spark.conf.get(k, None) for k in names}
     try:
         for k, v in names.items():

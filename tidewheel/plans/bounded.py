@@ -77,6 +77,27 @@ def _lates(frame: DataFrame, result_type: str = "void") -> DataFrame:
     return frame.select(F.lit("late").alias("kind"), "key", "window_start", "window_end", F.lit(None).alias("result"), F.lit(None).cast("long").alias("firing"), "value", "ts", "seq").select(*RESULT)
 
 
+#: A key's rows are put in order by stretches of so many session gaps.
+STRETCH_GAPS = 256
+
+
+def _islands(at: DataFrame, gap: int, order: tuple[str, ...]) -> DataFrame:
+    """Number the runs of a key's rows (us) that lie no more than `gap` apart.
+    Rows are ordered within stretches of time, so a hot key is many tasks; what
+    runs from one stretch into the next is joined over one row for each run."""
+    at = at.withColumn("stretch", F.floor(F.col("us") / (gap * STRETCH_GAPS)))
+    along = W.partitionBy("key", "stretch").orderBy("us", *order)
+    at = at.withColumn("opens", F.coalesce(F.col("us") - F.lag("us").over(along) > gap, F.lit(True)).cast("int"))
+    at = at.withColumn("run", F.sum("opens").over(along.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
+    runs = at.groupBy("key", "stretch", "run").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    after = W.partitionBy("key").orderBy("first")
+    runs = runs.withColumn("opens", F.coalesce(F.col("first") - F.lag("last").over(after) > gap, F.lit(True)).cast("long"))
+    runs = runs.withColumn("island", F.sum("opens").over(after.rowsBetween(W.unboundedPreceding, 0)))
+    of = runs.groupBy(F.col("key").alias("__key"), F.col("stretch").alias("__stretch")).agg(F.array_sort(F.collect_list(F.struct("run", "island"))).alias("islands"))
+    found = at.join(of, F.col("key").eqNullSafe(F.col("__key")) & (F.col("stretch") == F.col("__stretch")))
+    return found.withColumn("island", F.col("islands")[F.col("run") - 1]["island"]).drop("stretch", "opens", "run", "islands", "__key", "__stretch")
+
+
 def _sessions(rows: DataFrame, assigner: Session, aggregate: Aggregate, lateness, order: tuple[str, ...]) -> DataFrame:
     """Rows of a key whose windows touch form an island; sessions of different
     islands never meet. In an island without a row at or behind its clock, every
@@ -85,10 +106,7 @@ def _sessions(rows: DataFrame, assigner: Session, aggregate: Aggregate, lateness
     gap = assigner.gap_us
     if gap <= 0:
         return _fires(rows.where(F.lit(False)).select("key", F.col("ts").alias("window_start"), F.col("ts").alias("window_end"), F.lit(None).alias("result"), F.lit(0).alias("firing")), aggregate)
-    at = rows.withColumn("us", epoch_us("ts"))
-    along = W.partitionBy("key").orderBy("us", *order)
-    at = at.withColumn("opens", F.coalesce(F.col("us") - F.lag("us").over(along) > gap, F.lit(True)).cast("long"))
-    at = at.withColumn("island", F.sum("opens").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    at = _islands(rows.withColumn("us", epoch_us("ts")), gap, order)
     behind = F.max(F.coalesce(F.col("ts") <= F.col("clock"), F.lit(False)))
     plain = at.groupBy("key", "island").agg(behind.alias("behind"), F.min("us").alias("s"), F.max("us").alias("e"), aggregate.column().alias("result"))
     fires = plain.where(~F.col("behind")).select("key", from_us(F.col("s")).alias("window_start"), from_us(F.col("e") + gap).alias("window_end"), "result", F.lit(0).alias("firing"))
