@@ -1,7 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewheel.llm import decontaminate, language, mixing, near_dedup
+from tidewheel.llm import decontaminate, language, mixing, near_dedup, token_output
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +41,37 @@ def test_registered(name):
     import __spark_entry__
 
     assert name in __spark_entry__.queries()
+
+
+HIDDEN = ["kept_id", "kept_rows", "bad_key", "mix_key", "mix_at", "mix_source", "mix_size", "mix_taken", "mix_have", "mix_want", "mix_words", "_mix_key", "id", "key", "__id", "__rows", "__words"]
+
+
+def test_columns_of_any_name(spark, clashing):
+    """What the operators call their own columns, as columns of the table."""
+    docs = clashing
+    for name in HIDDEN:
+        docs = docs.withColumn(name, F.lit(name)) if name not in ("id", "key") else docs
+    items = spark.createDataFrame([(1, docs.first()["text"])], "item_id long, text string")
+    for out in (near_dedup.drop_near_duplicates(docs), mixing.mixed(docs), decontaminate.drop_contaminated(docs, items), decontaminate.drop_contaminated(docs, items, broadcast_bytes=0), language.keep_identified(docs)):
+        rows = out.collect()
+        assert out.columns == docs.columns and rows and all(r[x] == x for r in rows for x in HIDDEN if x not in ("id", "key"))
+
+
+def test_stages_of_an_empty_table(spark, empty, tmp_path):
+    items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    for out in (near_dedup.drop_near_duplicates(empty), mixing.mixed(empty), decontaminate.drop_contaminated(empty, items), decontaminate.drop_contaminated(empty, items, broadcast_bytes=0), language.keep_identified(empty)):
+        assert out.count() == 0 and out.columns == empty.columns
+    assert token_output.token_files(empty, str(tmp_path / "none")).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Texts of megabytes, one of them a single word, through each operator."""
+    long = " ".join(f"word{i}" for i in range(200_000))
+    rows = [(1, long, "en", "a", len(long)), (2, long + " tail", "en", "a", len(long) + 5), (3, "x" * 3_000_000, "en", "b", 3_000_000), (4, "a few plain words here", "en", "b", 22)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    items = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(500, 560)))], "item_id long, text string")
+    for limit in (0, 1 << 20):
+        assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs, items, broadcast_bytes=limit).select("doc_id").collect()) == [3, 4]
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()}
+    assert sum(taken.values()) > 0 and mixing.mixed(docs).count() >= 2

@@ -67,3 +67,14 @@ def drop(*frames: DataFrame | None) -> None:
 def document_id_crc(doc_id: str) -> Column:
     """crc32 of the id's decimal text; 0 for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0))
+
+
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores before those that the frame has itself."""
+    taken = {c.lower() for c in frame.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out

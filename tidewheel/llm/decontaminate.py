@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._io import fresh
 from ._text import Words, buffers, mix, row_blocks
 
 MIN_MATCH = 5
@@ -176,18 +177,19 @@ def _joined(docs: DataFrame, items: DataFrame, min_match: int, coverage: float)
     docs = docs.dropDuplicates(["id"])
     mine = docs.mapInArrow(_windows(min_match, True), "id string, size long, print long").select("id", "print")
     pairs = mine.join(seeds, "print").groupBy("id", "item_id", "item_size").agg(F.count("*").alias("shared")).where(F.col("shared") * min_match >= F.col("item_size") * coverage)
-    rows = pairs.select("id", "item_id").join(docs, "id").join(items, "item_id").select("id", "text", "item_id", "item_text")
+    # A text meets all the items it may cover in one row, not once for each.
+    near = pairs.select("id", "item_id").join(items, "item_id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("item_id", "item_text"))).alias("near"))
+    rows = docs.join(near, "id").select("id", "text", F.col("near.item_id").alias("ids"), F.col("near.item_text").alias("texts"))
 
     def run(batches):
         for batch in batches:
             for i in range(len(batch)):
-                ids = batch.column(2).slice(i, 1).to_pylist()
-                found = _judged(batch.column(1).slice(i, 1), Index(ids, batch.column(3).slice(i, 1), min_match), coverage)
+                ids = batch.column(2)[i].as_py()
+                found = _judged(batch.column(1).slice(i, 1), Index(ids, batch.column(3)[i].values, min_match), coverage)
                 yield _columns(batch.column(0).slice(i, 1), found, ids)
 
     found = rows.mapInArrow(run, OUT.replace("doc_id long", "doc_id string")).where("not kept")
-    best = F.min(F.struct(F.negative("coverage").alias("c"), "item_id", "n_tiles")).alias("best")
-    return found.groupBy("doc_id").agg(best, F.count("*").alias("n_items")).select(F.col("doc_id").alias("key"), "best.item_id", F.negative("best.c").alias("coverage"), "best.n_tiles", "n_items")
+    return found.select(F.col("doc_id").alias("key"), "item_id", "coverage", "n_tiles", "n_items")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -217,13 +219,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The rows of `docs`, with all their columns, that cover no benchmark item."""
+    """The rows of `docs`, with all their columns, that cover no benchmark item.
+    Null and empty texts stay; each row is judged by its own text, also where ids
+    are null or repeat; an empty benchmark drops nothing, an empty table stays
+    empty. Other columns may have any names. Very long texts are judged whole."""
     items = _items(benchmark, "item_id", "text")
     index = _small_index(items, min_match, broadcast_bytes)
     if index is None:
-        key = _row_key(id_col, text_col)
-        found = _joined(docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text")), items, min_match, coverage).select(F.col("key").alias("__bad_key"))
-        return docs.join(found, key == F.col("__bad_key"), "left_anti")
+        key, (bad,) = _row_key(id_col, text_col), fresh(docs, "bad_key")
+        found = _joined(docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text")), items, min_match, coverage).select(F.col("key").alias(bad))
+        return docs.join(found, key == F.col(bad), "left_anti")
     at = docs.columns.index(text_col)
 
     def run(batches):

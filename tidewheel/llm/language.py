@@ -252,7 +252,10 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of `docs`, with all their columns, whose text is not rejected."""
+    """The rows of `docs`, with all their columns, whose text is not rejected.
+    Null, empty and letterless texts go, and so does every row if nothing could be
+    learned; null and repeated ids are judged row by row; an empty table stays
+    empty. Very long texts are judged whole."""
     model = train(docs, id_col, text_col, lang_col)
     at = docs.columns.index(text_col)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._io import cut
+from ._io import cut, fresh
 from ._native import first_words, word_count
 
 WEIGHTS = (3, 1, 2)
@@ -87,19 +87,21 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The documents of the mix, with all their columns: one row for each whole
     epoch of a document, and the first words of the one row at which a source's
     budget ends. Rows without words are not taken. Each row is taken on its own,
-    also where ids repeat; rows equal in id, text and source are interchangeable."""
+    also where ids repeat; rows equal in id, text and source are interchangeable.
+    An empty table stays empty; other columns may have any names."""
+    key, at, source, size, n, have, want, words = fresh(docs, "mix_key", "mix_at", "mix_source", "mix_size", "mix_taken", "mix_have", "mix_want", "mix_words")
     taken = _taken(docs, weights, share, max_epochs, range_rows, id_col, text_col, source_col)
-    taken = cut(taken.where("size > 0").select(F.col("key").alias("__key"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("taken").alias("__taken")))
-    rows, keys = docs.withColumn("__at", _key(id_col, text_col)), F.col("__at") == F.col("__key")
-    if not taken.groupBy("__key").count().where("count > 1").isEmpty():
-        number = lambda frame, key, name, to: frame.withColumn(to, F.row_number().over(W.partitionBy(key).orderBy(F.col(name).cast("string"))))
-        rows, taken = number(rows, "__at", source_col, "__n"), number(taken, "__key", "__source", "__m")
-        keys = keys & (F.col("__n") == F.col("__m"))
-    taken = taken.where("__taken > 0")
-    parts = F.expr("transform(sequence(1, cast(ceil(__taken / __size) as int)), i -> cast(least(__size, __taken - (i - 1) * __size) as int))")
-    out = rows.join(taken.hint("shuffle_hash"), keys).withColumn("__words", F.explode(parts))
-    text = F.when(F.col("__words") == F.col("__size"), F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("__words")))
-    out = out.withColumn(text_col, text)
+    taken = cut(taken.where("size > 0").select(F.col("key").alias(key), F.col("source").alias(source), F.col("size").alias(size), F.col("taken").alias(n)))
+    rows, same = docs.withColumn(at, _key(id_col, text_col)), F.col(at) == F.col(key)
+    if not taken.groupBy(key).count().where("count > 1").isEmpty():
+        number = lambda frame, of, by, to: frame.withColumn(to, F.row_number().over(W.partitionBy(of).orderBy(F.col(by).cast("string"))))
+        rows, taken = number(rows, at, source_col, have), number(taken, key, source, want)
+        same = same & (F.col(have) == F.col(want))
+    taken = taken.where(F.col(n) > 0)
+    parts = F.transform(F.sequence(F.lit(1), F.ceil(F.col(n) / F.col(size)).cast("int")), lambda i: F.least(F.col(size), F.col(n) - (i - 1) * F.col(size)).cast("int"))
+    out = rows.join(taken.hint("shuffle_hash"), same).withColumn(words, F.explode(parts))
+    whole = F.col(words) == F.col(size)
+    out = out.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(first_words(F.col(text_col), F.col(words))))
     if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.when(F.col("__words") == F.col("__size"), F.col(chars_col)).otherwise(F.length(text_col).cast(docs.schema[chars_col].dataType)))
+        out = out.withColumn(chars_col, F.when(whole, F.col(chars_col)).otherwise(F.length(text_col).cast(docs.schema[chars_col].dataType)))
     return out.select(*docs.columns)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import cut, drop, tasks_for
+from ._io import cut, drop, fresh, tasks_for
 from ._native import small_side
 from ._text import Words, buffers, mix, row_blocks, shingle_set
 from .components import connected_components
@@ -256,12 +256,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of which each group keeps one, with all their columns.
-    Rows without an id stay; of several rows with one kept id, one stays."""
+    """The documents of which each group keeps one, with all their columns,
+    whatever their names. Rows without an id stay; of several rows with one kept
+    id, one stays. Null and empty texts stay. An empty table stays empty."""
+    kept, rows = fresh(docs, "kept_id", "kept_rows")
     found = near_duplicates(docs, id_col, text_col).where("kept and doc_id is not null")
-    found = cut(found.groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("__rows")))
-    pick = lambda where: docs.join(found.where(where).select("__kept_id").hint("shuffle_hash"), F.col(id_col) == F.col("__kept_id"), "left_semi")
-    rows = pick("__rows = 1").unionByName(docs.where(F.col(id_col).isNull()))
-    if found.where("__rows > 1").isEmpty():
-        return rows
-    return rows.unionByName(pick("__rows > 1").dropDuplicates([id_col]))
+    found = cut(found.groupBy(F.col("doc_id").alias(kept)).agg(F.count("*").alias(rows)))
+    pick = lambda where: docs.join(found.where(where).select(kept).hint("shuffle_hash"), F.col(id_col) == F.col(kept), "left_semi")
+    once = pick(F.col(rows) == 1).unionByName(docs.where(F.col(id_col).isNull()))
+    if found.where(F.col(rows) > 1).isEmpty():
+        return once
+    return once.unionByName(pick(F.col(rows) > 1).dropDuplicates([id_col]))

@@ -154,7 +154,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, segme
     segments under `path` in ascending doc_id order: ranges of ids are dealt to
     partitions, sorted there, and encoded as they stream by.
 
-    Null ids come first, equal ids are ordered by a hash of their text."""
+    Null ids come first, equal ids are ordered by a hash of their text. An empty
+    table gives a folder without segments. A very long text is one document of
+    one segment; other columns are ignored."""
     tokenizer = tokenizer or default_path("word_bpe_49k.json")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     keys = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
@@ -191,7 +193,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_files(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Write the documents' tokens, then describe them as read from the files."""
+    """Write the documents' tokens, then describe them as read from the files:
+    (doc_id, start, n_tokens, ids_crc32) of every row, none for an empty table.
+    Nulls, repeated rows and long texts are as write_tokens has them."""
     spark = docs.sparkSession
     path = path or scratch_path(spark, "tokens")
     write_tokens(docs, path)
