@@ -47,7 +47,7 @@ TRAIN_STRETCH = 4
 TRAIN_SLOTS = 192
 SHARD_TOKENS = 6_000_000
 ROUNDS = 4
-FAN_IN = 32
+FAN_IN = 8
 LONG_LOG2 = 13
 RATE = 0.02
 BIAS_RATE = 0.05
@@ -398,7 +398,7 @@ def _round(docs: DataFrame, sent, arrays: np.ndarray, shards: int) -> np.ndarray
             yield _row(seen, np.concatenate([own.flat[None], now[1:]]))
 
     found = cut(rows.mapInArrow(run, "w long, v binary"))
-    left, made = shards, [found]
+    left, made = found.count(), [found]
     while left > FAN_IN:
         left = -(-left // FAN_IN)
         made.append(cut(made[-1].repartition(left).mapInArrow(_merged, "w long, v binary")))
