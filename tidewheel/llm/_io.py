@@ -64,6 +64,20 @@ def drop(*frames: DataFrame | None) -> None:
             _delete(frame.sparkSession, frame._scratch)
 
 
+#: Bytes of an Arrow batch, on either side of a Python function.
+BATCH_BYTES = 4 << 20
+
+
+def batched(frame: DataFrame) -> DataFrame:
+    """The frame, in a session whose Arrow batches are bounded by bytes: ten
+    thousand long texts at once would fill a task's memory. A bound that the
+    cluster sets itself stays."""
+    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", frame.sparkSession
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, str(BATCH_BYTES))
+    return frame
+
+
 def document_id_crc(doc_id: str) -> Column:
     """crc32 of the id's decimal text; 0 for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0))

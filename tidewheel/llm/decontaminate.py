@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._io import fresh
+from ._io import batched, fresh
 from ._text import Words, buffers, mix, row_blocks
 
 MIN_MATCH = 5
@@ -203,7 +203,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
     judged by its own text, also one with a null or repeated doc_id; a benchmark
     over `broadcast_bytes` gives the same verdicts."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    items = _items(benchmark, item_col, item_text_col)
+    items = _items(batched(benchmark), item_col, item_text_col)
     index = _small_index(items, min_match, broadcast_bytes)
     if index is None:
         keyed = rows.withColumn("key", _row_key("id", "text"))
@@ -223,7 +223,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MI
     Null and empty texts stay; each row is judged by its own text, also where ids
     are null or repeat; an empty benchmark drops nothing, an empty table stays
     empty. Other columns may have any names. Very long texts are judged whole."""
-    items = _items(benchmark, "item_id", "text")
+    items = _items(batched(benchmark), "item_id", "text")
     index = _small_index(items, min_match, broadcast_bytes)
     if index is None:
         key, (bad,) = _row_key(id_col, text_col), fresh(docs, "bad_key")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import document_id_crc
+from ._io import batched, document_id_crc
 from ._text import buffers, row_blocks
 
 BINS = 4096
@@ -183,7 +183,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     not 2, spread evenly over languages and chosen by a hash of id and text;
     equal rows count once. max_train bounds the rows, max_langs the languages
     (the most frequent ones). None if there is no such row with a letter."""
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), document_id_crc(id_col).alias("crc"))
+    rows = batched(docs).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), document_id_crc(id_col).alias("crc"))
     rows = rows.where("crc % 4 != 2 and lang is not null and text is not null")
     langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not langs:
@@ -247,7 +247,7 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
             lang, score, rejected = _judged(batch.column(2), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (document_id_crc(id_col) % 4 == 2).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    rows = batched(docs).select(F.col(id_col).cast("long").alias("doc_id"), (document_id_crc(id_col) % 4 == 2).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import cut, document_id_crc, drop
+from ._io import batched, cut, document_id_crc, drop
 from ._text import Words, _LOWER, buffers, mix, row_blocks
 
 HIDDEN = 12
@@ -426,7 +426,7 @@ class Fitted:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fitted:
     """Count and train on the rows whose crc32(doc_id) mod 7 is not 2."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), document_id_crc(id_col).alias("crc"))
+    rows = batched(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), document_id_crc(id_col).alias("crc"))
     training = rows.where("crc % 7 != 2").drop("crc")
     counts = cut(training.select("text").mapInArrow(_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
 
@@ -468,7 +468,7 @@ def score_documents(docs: DataFrame, fitted: Fitted | None = None, id_col: str =
     get a score. Without any training row every count is 0. Other columns are
     ignored."""
     fitted = fitted or fit(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (document_id_crc(id_col) % 7 == 2).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    rows = batched(docs).select(F.col(id_col).cast("long").alias("doc_id"), (document_id_crc(id_col) % 7 == 2).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     counts, total, distinct, least = fitted.counts, fitted.total, fitted.distinct, fitted.least
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((fitted.lexicon, fitted.model.flat, -np.log10(fitted.tail_n + fitted.tail_v + 1.0)))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import cut, drop, fresh, tasks_for
+from ._io import batched, cut, drop, fresh, tasks_for
 from ._native import small_side
 from ._text import Words, buffers, mix, row_blocks, shingle_set
 from .components import connected_components
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several texts, hence one component; each row is returned. Empty table: no
     rows. Very long texts are cut into words by blocks of bounded size. Other
     columns are ignored."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = batched(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sig = cut(docs.mapInArrow(_signatures(SKETCH), "id long, n long, f1 long, f2 long, sk array<long>"))
     named = sig.where("n > 0 and id is not null")
     alike = cut(named.groupBy("f1", "f2").agg(F.min("id").alias("rep")))

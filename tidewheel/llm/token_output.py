@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._io import scratch_path
+from ._io import batched, scratch_path
 from ._text import buffers, row_blocks
 from ._tokens import END_ID, default_path, loaded
 
@@ -158,7 +158,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, segme
     table gives a folder without segments. A very long text is one document of
     one segment; other columns are ignored."""
     tokenizer = tokenizer or default_path("word_bpe_49k.json")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = batched(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     keys = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
     ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     ordered.mapInArrow(_writer(tokenizer, segment_tokens), SCHEMA).write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(path)
