@@ -194,6 +194,8 @@ def test_sessions_run_over_stretches(spark, monkeypatch):
     nameless = windowed(some.withColumn("key", F.lit(None).cast("string")), Session(6), count(), 0)
     got = windowed(some, Session(6), count(), 0).collect()
     assert nameless.where("kind = 'fire'").count() == sum(r["kind"] == "fire" for r in got)
+    plain = custom("plain", lambda: F.count(F.lit(1)), "long", lambda s, _: (s or 0) + 1, lambda a, b: (a or 0) + (b or 0))
+    assert sorted(windowed(some, Session(6), plain, 0).collect(), key=repr) == sorted(got, key=repr)
     want, first, last, n = [], places[0], places[0], 0
     for x in [*places, 10**6]:
         if x - last > 6:

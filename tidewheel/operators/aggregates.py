@@ -23,6 +23,7 @@ class Aggregate:
     text: Callable[[Column], Column]
     add: Callable[[Any, Any], Any] | None = None  # (state, value) -> state, with state None at first
     merge: Callable[[Any, Any], Any] | None = None
+    combine: Callable[[Column], Column] | None = None  # an aggregate function over results of parts
 
     @property
     def foldable(self) -> bool:
@@ -51,15 +52,16 @@ def parse_number(value: str | None) -> float:
 
 def count() -> Aggregate:
     """Number of events."""
-    return Aggregate("count", lambda: F.count(F.lit(1)), "bigint", lambda x: x.cast("string"), lambda s, _: (s or 0) + 1, lambda a, b: (a or 0) + (b or 0))
+    return Aggregate("count", lambda: F.count(F.lit(1)), "bigint", lambda x: x.cast("string"), lambda s, _: (s or 0) + 1, lambda a, b: (a or 0) + (b or 0), F.sum)
 
 
 def total() -> Aggregate:
     """Sum of the values that parse as numbers; others add 0."""
-    return Aggregate("sum", lambda: F.sum(F.coalesce(number(F.col("value")), F.lit(0.0))), "double", float_text, lambda s, v: (s or 0.0) + parse_number(v), lambda a, b: (a or 0.0) + (b or 0.0))
+    return Aggregate("sum", lambda: F.sum(F.coalesce(number(F.col("value")), F.lit(0.0))), "double", float_text, lambda s, v: (s or 0.0) + parse_number(v), lambda a, b: (a or 0.0) + (b or 0.0), F.sum)
 
 
-def custom(name: str, column: Callable[[], Column], type: str, add=None, merge=None) -> Aggregate:
+def custom(name: str, column: Callable[[], Column], type: str, add=None, merge=None, combine=None) -> Aggregate:
     """An aggregate of one's own. Without add and merge it serves tumbling and
-    sliding windows of bounded and native jobs only."""
-    return Aggregate(name, column, type, lambda x: x.cast("string"), add, merge)
+    sliding windows of bounded and native jobs only; with combine the sessions of
+    a hot key are summed up in parts."""
+    return Aggregate(name, column, type, lambda x: x.cast("string"), add, merge, combine)

@@ -81,21 +81,27 @@ def _lates(frame: DataFrame, result_type: str = "void") -> DataFrame:
 STRETCH_GAPS = 256
 
 
-def _islands(at: DataFrame, gap: int, order: tuple[str, ...]) -> DataFrame:
-    """Number the runs of a key's rows (us) that lie no more than `gap` apart.
-    Rows are ordered within stretches of time, so a hot key is many tasks; what
-    runs from one stretch into the next is joined over one row for each run."""
+def _runs(at: DataFrame, gap: int, order: tuple[str, ...]) -> DataFrame:
+    """Number the runs of a key's rows (us) that lie no more than `gap` apart
+    within one stretch of time. A hot key is many tasks."""
     at = at.withColumn("stretch", F.floor(F.col("us") / (gap * STRETCH_GAPS)))
     along = W.partitionBy("key", "stretch").orderBy("us", *order)
     at = at.withColumn("opens", F.coalesce(F.col("us") - F.lag("us").over(along) > gap, F.lit(True)).cast("int"))
-    at = at.withColumn("run", F.sum("opens").over(along.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
-    runs = at.groupBy("key", "stretch", "run").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    return at.withColumn("run", F.sum("opens").over(along.rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("opens")
+
+
+def _islands(runs: DataFrame, gap: int) -> DataFrame:
+    """Number what runs on from one stretch into the next: one row for each run."""
     after = W.partitionBy("key").orderBy("first")
     runs = runs.withColumn("opens", F.coalesce(F.col("first") - F.lag("last").over(after) > gap, F.lit(True)).cast("long"))
-    runs = runs.withColumn("island", F.sum("opens").over(after.rowsBetween(W.unboundedPreceding, 0)))
-    of = runs.groupBy(F.col("key").alias("__key"), F.col("stretch").alias("__stretch")).agg(F.array_sort(F.collect_list(F.struct("run", "island"))).alias("islands"))
-    found = at.join(of, F.col("key").eqNullSafe(F.col("__key")) & (F.col("stretch") == F.col("__stretch")))
-    return found.withColumn("island", F.col("islands")[F.col("run") - 1]["island"]).drop("stretch", "opens", "run", "islands", "__key", "__stretch")
+    return runs.withColumn("island", F.sum("opens").over(after.rowsBetween(W.unboundedPreceding, 0))).drop("opens")
+
+
+def _of_runs(at: DataFrame, runs: DataFrame) -> DataFrame:
+    """The rows of some runs, with their island."""
+    of = runs.select(F.col("key").alias("__key"), F.col("stretch").alias("__stretch"), F.col("run").alias("__run"), "island")
+    found = at.join(of, F.col("key").eqNullSafe(F.col("__key")) & (F.col("stretch") == F.col("__stretch")) & (F.col("run") == F.col("__run")))
+    return found.drop("__key", "__stretch", "__run")
 
 
 def _sessions(rows: DataFrame, assigner: Session, aggregate: Aggregate, lateness, order: tuple[str, ...]) -> DataFrame:
@@ -106,12 +112,21 @@ def _sessions(rows: DataFrame, assigner: Session, aggregate: Aggregate, lateness
     gap = assigner.gap_us
     if gap <= 0:
         return _fires(rows.where(F.lit(False)).select("key", F.col("ts").alias("window_start"), F.col("ts").alias("window_end"), F.lit(None).alias("result"), F.lit(0).alias("firing")), aggregate)
-    at = _islands(rows.withColumn("us", epoch_us("ts")), gap, order)
-    behind = F.max(F.coalesce(F.col("ts") <= F.col("clock"), F.lit(False)))
-    plain = at.groupBy("key", "island").agg(behind.alias("behind"), F.min("us").alias("s"), F.max("us").alias("e"), aggregate.column().alias("result"))
+    at = _runs(rows.withColumn("us", epoch_us("ts")), gap, order)
+    behind = F.max(F.coalesce(F.col("ts") <= F.col("clock"), F.lit(False))).alias("behind")
+    result = [aggregate.column().alias("result")] if aggregate.combine else []
+    runs = _islands(at.groupBy("key", "stretch", "run").agg(behind, F.min("us").alias("first"), F.max("us").alias("last"), *result), gap)
+    ends = [F.max("behind").alias("behind"), F.min("first").alias("s"), F.max("last").alias("e")]
+    if aggregate.combine:
+        plain = runs.groupBy("key", "island").agg(*ends, aggregate.combine(F.col("result")).alias("result"))
+    else:
+        whole = _of_runs(at, runs).withColumn("first", F.col("us")).withColumn("last", F.col("us"))
+        whole = whole.withColumn("behind", F.coalesce(F.col("ts") <= F.col("clock"), F.lit(False)))
+        plain = whole.groupBy("key", "island").agg(*ends, aggregate.column().alias("result"))
     fires = plain.where(~F.col("behind")).select("key", from_us(F.col("s")).alias("window_start"), from_us(F.col("e") + gap).alias("window_end"), "result", F.lit(0).alias("firing"))
     out = _fires(fires, aggregate)
-    odd = at.join(plain.where("behind").select("key", "island"), ["key", "island"], "left_semi")
+    late = W.partitionBy("key", "island")
+    odd = _of_runs(at, runs.withColumn("behind", F.max("behind").over(late)).where("behind"))
     # An island's rows stand together and in order, and are folded as they pass.
     odd = odd.select("key", "island", "value", "ts", "seq", "us", epoch_us("clock").alias("clock_us"), *[F.col(c).alias(f"at{i}") for i, c in enumerate(order)])
     odd = odd.repartition("key", "island").sortWithinPartitions("key", "island", *[f"at{i}" for i in range(len(order))])
