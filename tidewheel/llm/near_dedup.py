@@ -42,6 +42,8 @@ LEADERS = 4
 QUERY_BYTES = 16 << 20
 #: Ids that may be broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
+#: A full set counts as so many narrow rows when files are dealt out.
+SET_ROWS = 20
 PERCENT = 75
 #: A pair passes the estimate from this share of its union sketch on: five
 #: standard deviations of a 48-value sketch below 0.75.
@@ -103,17 +105,17 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> Da
     return both.where(share >= ESTIMATE_FLOOR).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, tasks: int) -> DataFrame:
     """Pairs whose full sets reach the similarity: 100 * both >= percent * either.
     Of an id with several texts each is tried."""
-    pairs = cut(pairs.distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    full = cut(_full(docs, cut(ends)).select("id", "full"))
+    pairs = cut(pairs.distinct(), tasks)
+    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), tasks)
+    full = cut(_full(docs, ends).select("id", "full"), tasks_for(SET_ROWS * ends.count()))
     both = pairs.join(full.select(F.col("id").alias("a"), F.col("full").alias("fa")), "a")
     both = both.join(full.select(F.col("id").alias("b"), F.col("full").alias("fb")), "b")
     shared = F.size(F.array_intersect("fa", "fb"))
-    links = cut(both.withColumn("shared", shared).where(f"100L * shared >= {percent}L * (size(fa) + size(fb) - shared)").select("a", "b"))
-    drop(pairs, full)
+    links = cut(both.withColumn("shared", shared).where(f"100L * shared >= {percent}L * (size(fa) + size(fb) - shared)").select("a", "b"), tasks)
+    drop(pairs, ends, full)
     return links
 
 
@@ -144,9 +146,9 @@ def _leader_pairs(members: DataFrame) -> DataFrame:
     return met.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
 
 
-def _hot_pairs(held: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
+def _hot_pairs(held: DataFrame, tasks: int, set_tasks: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs among full sets, and the members (v, id) of long lists."""
-    prefixes = cut(_prefixes(held))
+    prefixes = cut(_prefixes(held), set_tasks)
     # Leaders are drawn by one hash of the id, so lists of one group share them.
     draws = [F.min(F.struct(F.xxhash64("id", F.lit(seed)), "id"))["id"] for seed in range(LEADERS)]
     lists = cut(prefixes.groupBy("v").agg(F.count("*").alias("c"), F.array_distinct(F.array(*draws)).alias("leads")).where("c > 1"), tasks)
@@ -221,24 +223,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are ignored."""
     docs = batched(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sig = cut(docs.mapInArrow(_signatures(SKETCH), "id long, n long, f1 long, f2 long, sk array<long>"))
+    tasks = tasks_for(sig.count())
     named = sig.where("n > 0 and id is not null")
-    alike = cut(named.groupBy("f1", "f2").agg(F.min("id").alias("rep")))
+    alike = cut(named.groupBy("f1", "f2").agg(F.min("id").alias("rep")), tasks)
     classes = named.join(alike.select(F.col("rep").alias("id"), "f1", "f2"), ["id", "f1", "f2"], "left_semi").dropDuplicates(["id", "f1", "f2"])
-    classes = cut(classes.select("id", "n", "sk"))
+    classes = cut(classes.select("id", "n", "sk"), tasks)
     postings = classes.select("id", "n", F.explode(F.slice("sk", 1, POSTED)).alias("v"))
 
-    tasks = tasks_for(classes.count())
     lists = cut(postings.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), tasks)
     pairs = _short_pairs(postings, lists, LIST_LIMIT)
     in_long = postings.join(lists.where(F.col("c") > LIST_LIMIT).select("v"), "v").groupBy("id", "n").agg(F.count("*").alias("c"))
     m, p = F.least("n", F.lit(POSTED)), PERCENT / 100
     hot = cut(in_long.where(F.col("c") >= m * p - DEVIATIONS * F.sqrt(m * p * (1 - p))).select("id").distinct(), tasks)
-    members = None
+    members, set_tasks = None, tasks_for(SET_ROWS * hot.count())
     if not hot.isEmpty():
-        held = cut(_full(docs, hot).dropDuplicates(["id", "f1"]))
-        more, members = _hot_pairs(held, tasks)
+        held = cut(_full(docs, hot).dropDuplicates(["id", "f1"]), set_tasks)
+        more, members = _hot_pairs(held, tasks, set_tasks)
         pairs = pairs.unionByName(more)
-    links = _confirmed(_estimated(pairs.distinct(), classes, SKETCH, PERCENT), docs, PERCENT)
+    links = _confirmed(_estimated(pairs.distinct(), classes, SKETCH, PERCENT), docs, PERCENT, tasks)
 
     # A document with several texts belongs to the classes of all of them.
     doubled = named.groupBy("id").agg(F.min("f1").alias("x"), F.max("f1").alias("y"), F.min("f2").alias("z"), F.max("f2").alias("w")).where("x != y or z != w").select("id")
