@@ -429,6 +429,22 @@ def test_what_an_exact_job_still_holds_can_be_fired(spark, tmp_path):
     assert sorted((r["key"], r["value"], r["ts"]) for r in got) == bounded(spark, events)
 
 
+@pytest.mark.parametrize("aggregate", [count(), total()])
+def test_what_a_native_job_still_holds_can_be_fired(spark, tmp_path, aggregate):
+    feed, data, got = str(tmp_path / "feed"), str(tmp_path / "data"), []
+    spark.createDataFrame([("a", "2", BASE + timedelta(seconds=x), x) for x in (1, 2, 12, 40)], EVENT).coalesce(1).write.parquet(feed)
+    job = Job("native").source(lambda s: s.readStream.schema(EVENT).parquet(feed)).map().key_by("key").parallelism(2).watermark_bound("2s").window(Tumbling(10), aggregate).checkpointing(data).sink(lambda b, i: got.extend(b.collect()))
+    query = job.start(spark)
+    query.processAllAvailable()
+    query.stop()
+    early = len(got)
+    finish(job, spark)
+    n = 2 if aggregate.name == "sum" else 1
+    assert early == 2 and sorted(((r["ts"] - BASE).total_seconds(), int(r["value"].rsplit(" ", 1)[1])) for r in got) == [(10, 2 * n), (20, n), (50, n)]
+    with pytest.raises(ValueError, match="sessions"):
+        finish(job.window(Session(3), aggregate), spark)
+
+
 def test_late_rows_of_an_exact_job_are_counted(spark, tmp_path):
     path, data = write_script(str(tmp_path / "s"), at(1, 12, 5, 20, 7, 30)), str(tmp_path / "data")
     query = script_job(path, str(tmp_path / "out"), end="false").checkpointing(data).start(spark, exact=True)

@@ -19,12 +19,12 @@ from .functions.text import window_text
 from .model import DEFAULT_BOUND, DEFAULT_CAPACITY, DEFAULT_PARALLELISM, epoch_us, micros
 from .operators.aggregates import Aggregate
 from .operators.clock import with_clock
-from .operators.windows import Assigner
+from .operators.windows import Assigner, Session
 from .plans.bounded import windowed
 from .sources.sinks import BatchSink, split_late
 from .streaming.checkpoint import SavepointError, Savepoints
 from .streaming.exact import exact_windows, pending
-from .streaming.native import configure, native_windows
+from .streaming.native import configure, native_windows, pending_windows
 from .streaming.process import ProcessFunction, keyed_process
 
 Expression = str | Column
@@ -220,10 +220,17 @@ class Job:
 
 
 def finish(job: Job, spark: SparkSession) -> None:
-    """After an exact job's bounded source has ended and its query has stopped:
-    fire into the sink what the state still holds, as if an end row had come."""
+    """After a job's bounded source has ended and its query has stopped: fire into
+    the sink what the state still holds, as if the clock had passed all windows.
+    Sessions of the native tier cannot be read back."""
     points = Savepoints(spark, job._data_dir)
-    job._sink(as_events(job._texts(pending(spark, points.checkpoint, job._aggregate))), -1)
+    if points.kind().get("exact") == "True":
+        held = pending(spark, points.checkpoint, job._aggregate)
+    elif isinstance(job._assigner, Session):
+        raise ValueError("sessions of the native tier cannot be read back from their state")
+    else:
+        held = pending_windows(spark, points.checkpoint, job._aggregate).withColumn("kind", F.lit("fire"))
+    job._sink(as_events(job._texts(held)), -1)
 
 
 def as_events(results: DataFrame) -> DataFrame:

@@ -124,6 +124,11 @@ class Savepoints:
         files.copy(path, self.checkpoint)
         return self.checkpoint
 
+    def kind(self) -> dict:
+        """What the checkpoint says of its job."""
+        files, path = _Files(self.spark, self.data_dir), f"{self.checkpoint}/job.json"
+        return json.loads(files.read(path)) if files.exists(path) else {}
+
     def check(self, parallelism: int, **job: str | None) -> None:
         """State is laid out by partition count and holds one job's kind of
         values: a restore keeps both or fails. The kind stands beside the state."""
@@ -131,11 +136,9 @@ class Savepoints:
         found = len([n for n in files.names(f"{self.checkpoint}/state/0") if n.isdigit()])
         if found and found != parallelism:
             raise SavepointError(f"checkpoint has parallelism {found}, job has {parallelism}")
-        kind = f"{self.checkpoint}/job.json"
-        if files.exists(kind):
-            was = json.loads(files.read(kind))
+        if was := self.kind():
             for what, value in job.items():
                 if was.get(what) != value:
                     raise SavepointError(f"checkpoint has {what} {was.get(what)}, job has {value}")
         else:
-            files.write(kind, json.dumps(job))
+            files.write(f"{self.checkpoint}/job.json", json.dumps(job))

@@ -38,3 +38,15 @@ def native_windows(stream: DataFrame, assigner: Assigner, aggregate: Aggregate,
         window = F.window("ts", interval(assigner.size_us))
     found = rows.groupBy("key", window.alias("w")).agg(aggregate.column().alias("result"))
     return found.select("key", F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"), "result")
+
+
+def pending_windows(spark: SparkSession, checkpoint: str, aggregate: Aggregate) -> DataFrame:
+    """(key, window_start, window_end, result) of the tumbling or sliding windows
+    that a stopped native job still held: read from the state it left, from which
+    Spark removes a window when it is given out."""
+    state = spark.read.format("statestore").load(checkpoint)
+    names, buffers = state.schema["key"].dataType.names, state.schema["value"].dataType.names
+    if len(names) != 2 or len(buffers) != 1:
+        raise ValueError("only windows of one-value aggregates can be read from their state")
+    window = F.col(f"key.{names[1]}")
+    return state.select(F.col(f"key.{names[0]}").alias("key"), window["start"].cast("timestamp_ntz").alias("window_start"), window["end"].cast("timestamp_ntz").alias("window_end"), F.col(f"value.{buffers[0]}").cast(aggregate.type).alias("result"))
