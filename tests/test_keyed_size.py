@@ -1,0 +1,28 @@
+"""Keyed processing where a key has many rows, or a stream many keys."""
+
+import random
+from datetime import datetime, timedelta
+
+from tidewheel.model import EVENT
+from tidewheel.streaming import keyed_process
+
+BASE = datetime(2026, 9, 26, 12)
+
+
+def test_bounded_rows_of_a_hot_key_need_no_store(spark):
+    def numbered(state, event):
+        n = (state["n"].get()[0] or 0) + 1
+        state["n"].set(n)
+        if n % 2:
+            yield event | {"value": str(n)}
+
+    n = 30_000
+    order = random.Random(1).sample(range(n), n)
+    rows = spark.createDataFrame([(None if i % 10 == 0 else "hot", None, BASE + timedelta(seconds=i), i) for i in order], EVENT).repartition(5)
+    found = keyed_process(rows, numbered, {"n": ("value", "n long")})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "TransformWithState" not in plan and "MapInArrow" in plan
+    got = sorted((r["seq"], r["route_key"], r["value"], r["ts"]) for r in found.where("key is not null").collect())
+    hot = [i for i in range(n) if i % 10]
+    assert got == [(i, "hot", str(at), BASE + timedelta(seconds=i)) for at, i in enumerate(hot, 1) if at % 2]
+    assert [r["value"] for r in found.where("key is null").orderBy("seq").collect()] == [str(i) for i in range(1, n // 10 + 1, 2)]

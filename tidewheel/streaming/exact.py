@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,10 +21,11 @@ from ..model import from_us, micros
 from ..operators.aggregates import Aggregate
 from ..operators.fold import PaneFold
 from ..operators.windows import Assigner
+from .ordered import NULL, frames, in_order, long, tuples, whole
 from .process import KeyedState, ProcessFunction
 from .state import use_rocksdb
 
-OUT_ROW = Row("kind", "key", "s", "e", "result", "firing", "value", "us", "seq")
+OUT_COLUMNS = ["kind", "key", "s", "e", "result", "firing", "value", "us", "seq"]
 OUT = "kind string, key string, s long, e long, result double, firing long, value string, us long, seq long"
 _EPOCH = datetime(1970, 1, 1)
 
@@ -47,23 +48,23 @@ class WindowProcessor(StatefulProcessor):
         self.late = handle.getValueState("late", "n long")
         self.state = KeyedState(handle, self.process[1]) if self.process else None
 
-    def _events(self, key: str, r: Row) -> Iterator[tuple]:
+    def _events(self, key: str | None, us: int, value: str | None, seq: int) -> Iterator[tuple]:
         """(us, value, seq) of what the function makes of a row."""
         if self.process is None:
-            yield r["us"], r["value"], r["seq"]
+            yield us, value, seq
             return
-        self.state.key = key
-        ts = _EPOCH + timedelta(microseconds=r["us"])
-        for e in self.process[0](self.state, {"key": key, "value": r["value"], "ts": ts, "seq": r["seq"]}):
+        ts = _EPOCH + timedelta(microseconds=us)
+        for e in self.process[0](self.state, {"key": key, "value": value, "ts": ts, "seq": seq}):
             yield _us(e["ts"]), e["value"], e["seq"]
 
-    def _steps(self, fold: PaneFold, key: str, r: Row) -> Iterator[tuple]:
+    def _steps(self, fold: PaneFold, key: str | None, row: tuple) -> Iterator[tuple]:
         """(us, value, seq, what the fold gives): the clock moves with the row,
         whatever the function makes of it; then come the function's events."""
-        yield None, None, None, fold.advance(r["clock_us"])
-        if r["seq"] >= 0:
-            for us, value, seq in self._events(key, r):
-                yield us, value, seq, fold.add(us, value, r["clock_us"])
+        value, us, seq, clock = row[0], row[1], row[2], long(row[3])
+        yield None, None, None, fold.advance(clock)
+        if seq >= 0:
+            for us, value, seq in self._events(key, us, whole(value), seq):
+                yield us, value, seq, fold.add(us, value, clock)
 
     def _held(self) -> tuple[PaneFold, dict]:
         held = {(k[0], k[1]): [v[0], v[1], v[2]] for k, v in self.cells.iterator()}
@@ -78,29 +79,39 @@ class WindowProcessor(StatefulProcessor):
         if self.timers and (due := fold.due()) is not None:
             self.handle.registerTimer(-(-due // 1000))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def _results(self, key: str | None, rows) -> Iterator[tuple]:
         fold, before = self._held()
         late = 0
+        if self.state is not None:
+            self.state.begin(key)
         # Spark promises no order within a key's batch; end rows come last.
-        for r in sorted(rows, key=lambda r: (r["seq"] < 0, r["seq"])):
-            for us, value, seq, found in self._steps(fold, key[0], r):
+        for r in in_order(tuples(rows, ["value", "us", "seq", "clock_us"]), lambda r: (r[2] < 0, r[2])):
+            for us, value, seq, found in self._steps(fold, key, r):
                 for kind, s, e, state, firing in found:
                     if kind == "late":
                         late += 1
-                        yield OUT_ROW("late", key[0], s, e, None, None, value, us, seq)
+                        yield "late", key, s, e, None, None, value, us, seq
                     else:
-                        yield OUT_ROW("fire", key[0], s, e, float(state), firing, None, None, None)
+                        yield "fire", key, s, e, float(state), firing, None, None, None
         self._keep(fold, before)
+        if self.state is not None:
+            self.state.end()
         if late:
             n = self.late.get()[0] if self.late.exists() else 0
             self.late.update((n + late,))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues):
+        return frames(self._results(whole(key[0]), rows), OUT_COLUMNS)
+
+    def _due(self, key: str | None, clock: int) -> Iterator[tuple]:
         fold, before = self._held()
-        for _, s, e, state, firing in fold.advance(timerValues.getCurrentWatermarkInMs() * 1000):
-            yield OUT_ROW("fire", key[0], s, e, float(state), firing, None, None, None)
+        for _, s, e, state, firing in fold.advance(clock):
+            yield "fire", key, s, e, float(state), firing, None, None, None
         self._keep(fold, before)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        return frames(self._due(whole(key[0]), timerValues.getCurrentWatermarkInMs() * 1000), OUT_COLUMNS)
+
     def close(self) -> None:
         pass
 
@@ -120,7 +131,9 @@ def exact_windows(rows: DataFrame, assigner: Assigner, aggregate: Aggregate, lat
         # One millisecond below the largest clock: rows at that clock still come.
         after = F.col("clock_us") if bound is None else F.greatest("clock_us", F.col("us") - micros(bound))
         rows = rows.withColumn("clock_at", F.timestamp_micros(after)).withWatermark("clock_at", "1 millisecond")
-    found = rows.groupBy("key").transformWithState(statefulProcessor=processor, outputStructType=OUT, outputMode="Update", timeMode="EventTime" if rows.isStreaming else "None")
+    # The watermark needs its column up to here only; pandas has no room for its last times.
+    rows = rows.select("key", "value", "us", "seq", F.coalesce("clock_us", F.lit(NULL)).alias("clock_us"))
+    found = rows.groupBy("key").transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUT, outputMode="Update", timeMode="EventTime" if rows.isStreaming else "None")
     out = found.select("kind", "key", from_us(found["s"]).alias("window_start"), from_us(found["e"]).alias("window_end"), found["result"].cast(aggregate.type).alias("result"), "firing", "value", from_us(found["us"]).alias("ts"), "seq")
     return out
 
