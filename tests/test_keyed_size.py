@@ -3,8 +3,13 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
+
+from tidewheel import Tumbling, count
 from tidewheel.model import EVENT
 from tidewheel.streaming import keyed_process
+from tidewheel.streaming.exact import WindowProcessor
+from tidewheel.streaming.ordered import in_order
 
 BASE = datetime(2026, 9, 26, 12)
 
@@ -26,3 +31,57 @@ def test_bounded_rows_of_a_hot_key_need_no_store(spark):
     hot = [i for i in range(n) if i % 10]
     assert got == [(i, "hot", str(at), BASE + timedelta(seconds=i)) for at, i in enumerate(hot, 1) if at % 2]
     assert [r["value"] for r in found.where("key is null").orderBy("seq").collect()] == [str(i) for i in range(1, n // 10 + 1, 2)]
+
+
+class Store:
+    """A state store of one key, of which every call is counted."""
+
+    def __init__(self):
+        self.held, self.calls = None, 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        held = self.held
+        if name == "update":
+            return lambda x: setattr(self, "held", x)
+        if name in ("put", "appendList"):
+            return lambda x: setattr(self, "held", [*(held or [] if name == "appendList" else []), *x])
+        if name == "updateValue":
+            return lambda at, x: setattr(self, "held", {**(held or {}), at: x})
+        return {
+            "exists": lambda: bool(held), "get": lambda: iter(held) if isinstance(held, list) else held, "clear": lambda: setattr(self, "held", None), "containsKey": lambda at: at in held,
+            "getValue": lambda at: held[at], "removeKey": lambda at: held.pop(at), "iterator": lambda: iter(list((held or {}).items())), "keys": lambda: iter(list(held)),
+        }[name]
+
+
+class Handle:
+    def __init__(self):
+        self.stores = {}
+
+    def __getattr__(self, name):
+        return lambda n, *_: self.stores.setdefault(n, Store())
+
+
+def _pieces(rows, size):
+    names = ["value", "us", "seq", "clock_us"]
+    return iter([pd.DataFrame(rows[i : i + size], columns=names) for i in range(0, len(rows), size)])
+
+
+def _windows(handle):
+    processor = WindowProcessor(Tumbling(10), count(), 0, None, False)
+    processor.init(handle)
+    return processor
+
+
+def test_rows_are_put_in_order_in_runs():
+    rows = [(x // 2, i) for i, x in enumerate(random.Random(2).sample(range(5_000), 5_000))]
+    assert list(in_order(iter(rows), lambda r: r[0], run=700)) == sorted(rows, key=lambda r: r[0])
+    assert list(in_order(iter(rows), lambda r: r[0])) == sorted(rows, key=lambda r: r[0])
+
+
+def test_late_rows_of_a_hot_key_leave_in_frames():
+    rows = [("x", 1_000_000, i, 60_000_000) for i in range(25_000)]
+    random.Random(3).shuffle(rows)
+    got = list(_windows(Handle()).handleInputRows(("hot",), _pieces(rows, 10_000), None))
+    assert [len(f) for f in got] == [10_000, 10_000, 5_000]
+    assert [x for f in got for x in f["seq"]] == list(range(25_000))

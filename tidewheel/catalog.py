@@ -254,15 +254,18 @@ def stream_tumbling_native(spark, sf_dir):
 
 
 def _exact_input(spark, sf_dir, parts: int) -> tuple[str, str]:
-    """(folder, schema) of files in arrival order with clocks, end rows last."""
+    """(folder, schema) of files with clocks, in a folder for each stretch of
+    arrival, end rows last. Rows are dealt to tasks by arrival, to 400 at most."""
     path = _scratch(spark, "arrivals")
-    rows = with_clock(_delayed(spark, sf_dir), 600).select("key", "value", epoch_us("ts").alias("us"), "seq", epoch_us("clock").alias("clock_us"))
-    top = rows.agg(F.max("seq")).first()[0] or 0
+    came = _delayed(spark, sf_dir)
+    top = came.agg(F.max("seq")).first()[0] or 0
+    rows = with_clock(came, 600).select("key", "value", epoch_us("ts").alias("us"), "seq", epoch_us("clock").alias("clock_us"))
     rows = rows.withColumn("part", F.expr(f"cast(seq div {top // parts + 1} as int)"))
     end = F.lit(END_OF_TIME).cast("timestamp_ntz")
-    ends = rows.select("key").distinct().select("key", F.lit(None).cast("string").alias("value"), epoch_us(end).alias("us"), F.lit(-1).cast("long").alias("seq"), epoch_us(end).alias("clock_us"), F.lit(parts).alias("part"))
-    for frame, few in ((rows, parts), (ends, 1)):
-        frame.repartition(few, "part").sortWithinPartitions("seq").write.mode("append").partitionBy("part").parquet(path)
+    ends = came.select("key").distinct().select("key", F.lit(None).cast("string").alias("value"), epoch_us(end).alias("us"), F.lit(-1).cast("long").alias("seq"), epoch_us(end).alias("clock_us"), F.lit(parts).alias("part"))
+    stretch = F.expr(f"seq div {max(2_000_000, top // 400 + 1)}")
+    for frame in (rows.repartition("part", stretch), ends.coalesce(1)):
+        frame.write.mode("append").partitionBy("part").parquet(path)
     return path, "key string, value string, us long, seq long, clock_us long"
 
 
