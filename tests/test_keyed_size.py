@@ -85,3 +85,20 @@ def test_late_rows_of_a_hot_key_leave_in_frames():
     got = list(_windows(Handle()).handleInputRows(("hot",), _pieces(rows, 10_000), None))
     assert [len(f) for f in got] == [10_000, 10_000, 5_000]
     assert [x for f in got for x in f["seq"]] == list(range(25_000))
+
+
+def test_a_hot_key_in_three_batches_equals_one():
+    rows = [("x", (i - (25 if i % 7 == 3 else 0)) * 1_000_000, i, (i - 5) * 1_000_000 if i else -(2**63)) for i in range(9_000)]
+    end = [(None, 2**60, -1, 2**60)]
+
+    def run(*batches):
+        handle, out = Handle(), []
+        for batch in batches:
+            batch = random.Random(4).sample(batch, len(batch))
+            out += [f for f in _windows(handle).handleInputRows(("hot",), _pieces(batch, 1_000), None)]
+        assert all(len(f) <= 10_000 for f in out)
+        return [tuple(r) for f in out for r in f.itertuples(index=False)]
+
+    whole = run(rows + end)
+    assert whole == run(rows[:4_000], rows[4_000:8_000], rows[8_000:] + end)
+    assert sum(r[4] for r in whole if r[0] == "fire") + sum(r[0] == "late" for r in whole) == 9_000
