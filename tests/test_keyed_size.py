@@ -4,12 +4,14 @@ import random
 from datetime import datetime, timedelta
 
 import pandas as pd
+import pytest
 
 from tidewheel import Tumbling, count
 from tidewheel.model import EVENT
-from tidewheel.streaming import keyed_process
+from tidewheel.streaming import KeyedState, keyed_process, process
 from tidewheel.streaming.exact import WindowProcessor
 from tidewheel.streaming.ordered import in_order
+from tidewheel.streaming.process import COUNT_STATE, DEDUP_STATE, dedup_function, running_count_function
 
 BASE = datetime(2026, 9, 26, 12)
 
@@ -102,3 +104,84 @@ def test_a_hot_key_in_three_batches_equals_one():
     whole = run(rows + end)
     assert whole == run(rows[:4_000], rows[4_000:8_000], rows[8_000:] + end)
     assert sum(r[4] for r in whole if r[0] == "fire") + sum(r[0] == "late" for r in whole) == 9_000
+
+
+STATES = {"v": ("value", "n long"), "l": ("list", "x string"), "m": ("map", "value string", "flag long")}
+
+
+def _use(state, rng):
+    """What a function sees of one random use of each cell."""
+    value, items, entries = state["v"], state["l"], state["m"]
+    at, what = f"k{rng.randrange(9)}", rng.randrange(12)
+    if what == 0:
+        value.clear()
+    elif what < 4:
+        value.set(rng.randrange(100))
+    elif what == 4:
+        items.clear()
+    elif what < 7:
+        items.add(at)
+    elif what == 7:
+        entries.clear()
+    elif what < 10:
+        entries.put(at, rng.randrange(100))
+    else:
+        entries.remove(at)
+    see = rng.randrange(6)
+    return [value.get(), items.get(), entries.get(at), len(entries)][see : see + 1]
+
+
+@pytest.mark.parametrize("held", [2, 50_000])
+def test_cells_in_a_store_equal_those_in_memory(monkeypatch, held):
+    monkeypatch.setattr(process, "HELD", held)
+    for seed in range(40):
+        memory, handle = KeyedState(None, STATES), Handle()
+        memory.begin("a")
+        one, two = random.Random(seed), random.Random(seed)
+        for _ in range(12):
+            stored = KeyedState(handle, STATES)
+            stored.begin("a")
+            for _ in range(15):
+                assert _use(memory, one) == _use(stored, two)
+            stored.end()
+        last = KeyedState(handle, STATES)
+        last.begin("a")
+        assert last["v"].get() == memory["v"].get() and last["l"].get() == memory["l"].get() and len(last["m"]) == len(memory["m"])
+
+
+def test_a_stream_calls_its_store_once_for_many_rows():
+    handle = Handle()
+    state = KeyedState(handle, DEDUP_STATE | COUNT_STATE)
+    state.begin("a")
+    out = [e for i in range(5_000) for e in running_count_function(state, {"value": f"{i % 3}"}) if list(dedup_function(state, {"value": f"{i % 3}"}))]
+    state.end()
+    assert [e["value"] for e in out] == ["0 count=1", "1 count=2", "2 count=3"]
+    assert handle.stores["count"].held == (5_000,) and len(handle.stores["seen"].held) == 3
+    assert sum(s.calls for s in handle.stores.values()) <= 8
+
+
+def test_a_stream_finds_its_state_again(spark, tmp_path):
+    def steps(state, event):
+        seen = [state["v"].get(), state["l"].get(), len(state["m"]), state["m"].get("b"), state["m"].get("x")]
+        state["v"].set(event["seq"])
+        state["l"].add(event["value"])
+        state["m"].put(event["value"], event["seq"])
+        state["m"].remove("b")
+        yield event | {"value": repr(seen)}
+
+    feed, got = str(tmp_path / "feed"), []
+    conf = {"spark.sql.shuffle.partitions": "2"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    for batch in ([("k", "a", BASE, 2**60), ("k", "b", BASE, 2**60 + 1)], [("k", "c", BASE, 2**60 + 2)]):
+        spark.createDataFrame(batch, EVENT).coalesce(1).write.mode("append").parquet(feed)
+        found = keyed_process(spark.readStream.schema(EVENT).parquet(feed), steps, STATES | {"l": ("list", "x string")})
+        found.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda b, i: got.extend(b.collect())).trigger(availableNow=True).start().awaitTermination()
+    for k, v in old.items():
+        spark.conf.set(k, v)
+    seen = {(r["route_key"], r["seq"]): (r["ts"], r["value"]) for r in got if r["route_key"] == "k"}
+    assert seen == {
+        ("k", 2**60): (BASE, repr([(None, False), [], 0, (None, False), (None, False)])), ("k", 2**60 + 1): (BASE, repr([(2**60, True), ["a"], 1, (None, False), (None, False)])),
+        ("k", 2**60 + 2): (BASE, repr([(2**60 + 1, True), ["a", "b"], 1, (None, False), (None, False)])),
+    }
