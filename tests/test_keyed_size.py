@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pandas as pd
 import pytest
 
-from tidewheel import Tumbling, count
+from tidewheel import Tumbling, catalog, count
 from tidewheel.model import EVENT
 from tidewheel.streaming import KeyedState, keyed_process, process
 from tidewheel.streaming.exact import WindowProcessor
@@ -185,3 +185,14 @@ def test_a_stream_finds_its_state_again(spark, tmp_path):
         ("k", 2**60): (BASE, repr([(None, False), [], 0, (None, False), (None, False)])), ("k", 2**60 + 1): (BASE, repr([(2**60, True), ["a"], 1, (None, False), (None, False)])),
         ("k", 2**60 + 2): (BASE, repr([(2**60 + 1, True), ["a", "b"], 1, (None, False), (None, False)])),
     }
+
+
+def test_last_values_of_a_hot_key_need_few_calls():
+    handle = Handle()
+    state = KeyedState(handle, {"last": ("list", "value string")})
+    for batch in (range(3), range(3, 4_000)):
+        state.begin("a")
+        out = [e["value"] for i in batch for e in catalog._last_five(state, {"value": str(i)})]
+        state.end()
+    assert out[0] == "0,1,2,3" and out[-1] == "3995,3996,3997,3998,3999"
+    assert handle.stores["last"].held == [(str(i),) for i in range(3_995, 4_000)] and handle.stores["last"].calls <= 6
