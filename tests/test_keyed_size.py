@@ -196,3 +196,11 @@ def test_last_values_of_a_hot_key_need_few_calls():
         state.end()
     assert out[0] == "0,1,2,3" and out[-1] == "3995,3996,3997,3998,3999"
     assert handle.stores["last"].held == [(str(i),) for i in range(3_995, 4_000)] and handle.stores["last"].calls <= 6
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dedup_state_runs_without_a_store(spark):
+    assert "TransformWithState" not in _plan(catalog.dedup_state(spark, "/root/testdata/sf0.001"))
