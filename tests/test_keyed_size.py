@@ -204,3 +204,7 @@ def _plan(frame):
 
 def test_dedup_state_runs_without_a_store(spark):
     assert "TransformWithState" not in _plan(catalog.dedup_state(spark, "/root/testdata/sf0.001"))
+
+
+def test_running_count_state_runs_without_a_store(spark):
+    assert "TransformWithState" not in _plan(catalog.running_count_state(spark, "/root/testdata/sf0.001"))
